@@ -145,21 +145,21 @@ def _any_of(col: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.rlike(p) for p in patterns])
 
 
-def _column_aggregates(f: T.StructField) -> dict[str, Column]:
+def _column_aggregates(f: T.StructField, estimate: bool) -> dict[str, Column]:
     """The aggregates that make sense for the column's type; the others stay null in the profile."""
     from tabloom.functions.temporal import parse_text
 
     kind = kind_of(f.dataType)
     col = clean(f.name, f.dataType)
-    out = {"nulls": F.count_if(missing(f.name, f.dataType)), "approx_distinct": F.approx_count_distinct(col, 0.02)}
+    out = {"nulls": F.count_if(missing(f.name, f.dataType))}
+    if estimate:
+        # a sketch in one binary buffer, with an error of 1.6 %; approx_count_distinct would add hundreds of buffer columns
+        out["estimate"] = F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)), F.lit(12)))
     if kind in ("numeric", "boolean"):
         number = col.cast("double")
-        out.update(min=F.min(number), max=F.max(number), mean=F.avg(number), var_samp=F.var_samp(number), var_pop=F.var_pop(number))
+        out.update(min=F.min(number), max=F.max(number), mean=F.avg(number), var_pop=F.var_pop(number))
     if isinstance(f.dataType, INTEGRAL):
         out.update(min_long=F.min(col.cast("bigint")), max_long=F.max(col.cast("bigint")))
-    if kind == "numeric":
-        for unit, (low, high) in EPOCH_RANGES.items():
-            out[f"epoch_{unit}"] = F.count_if(F.abs(number).between(low, high)).cast("double")
     if kind == "string":
         parsed = parse_text(col)
         out.update(
@@ -205,7 +205,7 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
     the type rules, which spares the shuffle of the other columns' values; ``False`` keeps all estimates.
     """
     fields = profilable(df)
-    plans = [(i, f, _column_aggregates(f)) for i, f in enumerate(fields)]
+    plans = [(i, f, _column_aggregates(f, exact_distinct is not True)) for i, f in enumerate(fields)]
     wide = df.agg(F.count("*").alias("n"), *[e.alias(f"c{i}_{k}") for i, _, plan in plans for k, e in plan.items()]).first()
     n = wide["n"]
     rows = []
@@ -214,10 +214,9 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
                "is_integral": isinstance(f.dataType, INTEGRAL), "n": n}
         row.update({k: wide[f"c{i}_{k}"] for k in plan})
         row["present"] = n - row["nulls"]
-        row["distinct"] = min(row.pop("approx_distinct"), row["present"])
-        for unit in EPOCH_RANGES:
-            if f"epoch_{unit}" in row:
-                row[f"epoch_{unit}"] = row[f"epoch_{unit}"] / row["present"] if row["present"] else None
+        row["distinct"] = min(row.pop("estimate", 0) or 0, row["present"])
+        if row.get("var_pop") is not None and row["present"] > 1:
+            row["var_samp"] = row["var_pop"] * row["present"] / (row["present"] - 1)
         rows.append(row)
     exact = [
         r["column"] for r in rows
@@ -238,9 +237,27 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
     })
     for r in rows:
         r["sequential"] = r["column"] in steps
+    _add_epoch_shares(df, rows)
     return rows
 
 
+def _add_epoch_shares(df: DataFrame, rows: list[dict]) -> None:
+    """Shares of values in the range of each epoch unit, only for columns that reach such magnitudes."""
+    smallest = min(low for low, _ in EPOCH_RANGES.values())
+    large = [r for r in rows if r["kind"] == "numeric" and r["present"] and max(abs(r["min"]), abs(r["max"])) >= smallest]
+    if not large:
+        return
+    types = {f.name: f.dataType for f in df.schema.fields}
+    counts = df.agg(
+        *[
+            F.count_if(F.abs(clean(r["column"], types[r["column"]]).cast("double")).between(low, high)).alias(f"e{i}_{unit}")
+            for i, r in enumerate(large) for unit, (low, high) in EPOCH_RANGES.items()
+        ]
+    ).first()
+    for i, r in enumerate(large):
+        r.update({f"epoch_{unit}": counts[f"e{i}_{unit}"] / r["present"] for unit in EPOCH_RANGES})
+
+
 def column_profile(df: DataFrame, exact_distinct: bool | str = True) -> DataFrame:
     """The profile as a table with one row per column."""
     names = [part.split()[0] for part in PROFILE_SCHEMA.split(", ")]
