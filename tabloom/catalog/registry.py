@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tabloom.catalog import ingest, profiling
+from tabloom.catalog import features, ingest, profiling
 from tabloom.catalog.common import Catalog
 
 
 def catalog() -> Catalog:
     merged = Catalog()
-    for module in (ingest, profiling):
+    for module in (ingest, profiling, features):
         merged.update(module.CAT)
     return merged

@@ -43,7 +43,8 @@ def parse_text(text: Column) -> Column:
     parsed = F.lit(None).cast("timestamp")
     for shape, fmt in reversed(DATE_FORMATS):
         parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(parsed)
-    return parsed
+    # all shapes start with a digit and are short; other texts skip the patterns
+    return F.when(F.substring(text, 1, 1).between("0", "9") & (F.char_length(text) <= 19), parsed)
 
 
 def parse_epoch(value: Column, unit: str) -> Column:

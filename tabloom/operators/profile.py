@@ -171,9 +171,9 @@ def _column_aggregates(f: T.StructField, estimate: bool) -> dict[str, Column]:
             id_text_share=F.avg(_any_of(col, ID_TEXT).cast("double")),
             date_share=F.avg(F.when(col.isNotNull(), parsed.isNotNull().cast("double"))),
             year_share=F.avg(F.year(parsed).between(1900, 2100).cast("double")),
-            iso_date=F.max(col.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")),
-            us_date=F.max(col.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}")),
-            time_part=F.max(col.rlike("[0-9]{2}:[0-9]{2}")),
+            iso_date=F.max(F.when(parsed.isNotNull(), col.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"))),
+            us_date=F.max(F.when(parsed.isNotNull(), col.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}"))),
+            time_part=F.max(F.when(parsed.isNotNull(), col.rlike("[0-9]{2}:[0-9]{2}"))),
         )
     if kind == "temporal":
         out["year_share"] = F.avg(F.year(col.cast("timestamp")).between(1900, 2100).cast("double"))

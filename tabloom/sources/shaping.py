@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.hashing import hash32
 from tabloom.operators.folds import below_cutoff
-from tabloom.operators.profile import clean, column_values, kind_of, nan_to_null, profilable
+from tabloom.operators.profile import clean, column_values, kind_of, nan_to_null, null_counts, profilable
 from tabloom.operators.quantiles import exact_medians, exact_quantiles
 
 
@@ -28,8 +28,9 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
 
 
 def auto_fill_values(df: DataFrame) -> dict[str, object]:
-    """Median for numbers, mode for texts and flags."""
-    fields = profilable(df)
+    """Median for numbers, mode for texts; only for columns that have nulls."""
+    holes = {r["column"] for r in null_counts(df).where(F.col("nulls") > 0).collect()}
+    fields = [f for f in profilable(df) if f.name in holes]
     numbers = {f.name: clean(f.name, f.dataType) for f in fields if kind_of(f.dataType) == "numeric"}
     fills: dict[str, object] = {k: v for k, v in exact_medians(df, numbers).items() if v is not None}
     texts = [f.name for f in fields if kind_of(f.dataType) == "string"]
