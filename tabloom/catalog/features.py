@@ -61,7 +61,7 @@ _price_feature(
     "CAST(" + " + ".join(f"CASE WHEN x > lo + {i} * (hi - lo) / 5 THEN 1 ELSE 0 END" for i in range(1, 5)) + " AS BIGINT)",
 )
 _price_feature("n8_log1p:log", numeric.NumericConfig(), 6, "round(ln(1 + x), 6)")
-_price_feature("n9_squared:squared", numeric.NumericConfig(enable_polynomial=True), 2, "round(x * x, 2)")
+_price_feature("n9_squared:squared", numeric.NumericConfig(enable_polynomial=True), None, "x * x")
 _price_feature("n11_above_median:above_median", numeric.NumericConfig(), None, "CAST(x > med AS BIGINT)")
 _price_feature("n12_was_missing:was_missing", numeric.NumericConfig(), None, "CAST(raw IS NULL AS BIGINT)")
 CAT.add(
@@ -345,19 +345,19 @@ def _line(name: str, spec: dict, sql: str, digits: int | None) -> None:
 def _interaction(spark: SparkSession, d: str) -> DataFrame:
     o = orders_with_nulls(spark, d)
     fills = exact_medians(o, {"a": F.col("o_totalprice"), "b": F.col("o_custkey")})
-    return o.select("o_orderkey", F.round(derived.interaction(F.col("o_totalprice"), F.col("o_custkey").cast("double"), fills["a"], fills["b"]), 2).alias("value"))
+    return o.select("o_orderkey", derived.interaction(F.col("o_totalprice"), F.col("o_custkey").cast("double"), fills["a"], fills["b"]).alias("value"))
 
 
 CAT.add("x1_interaction", _interaction, f"""WITH {ORDERS_N}, m AS (SELECT median(o_totalprice) AS a FROM orders_n)
-SELECT o_orderkey, round(coalesce(o_totalprice, a) * o_custkey, 2) AS value FROM orders_n, m""")
+SELECT o_orderkey, coalesce(o_totalprice, a) * o_custkey AS value FROM orders_n, m""")
 _line("x2_ratio", {"operation": "ratio", "inputs": ["l_extendedprice", "l_discount"]},
-      "round(l_extendedprice / CASE WHEN l_discount = 0 THEN 1e-6 ELSE l_discount END, 2)", 2)
+      "l_extendedprice / CASE WHEN l_discount = 0 THEN 1e-6 ELSE l_discount END", None)
 _line("x3_difference", {"operation": "difference", "inputs": ["l_discount", "l_tax"]},
-      "round(l_discount - l_tax, 6)", 6)
+      "l_discount - l_tax", None)
 _line("x4_product", {"operation": "product", "inputs": ["l_quantity", "l_extendedprice", "l_tax"]},
-      "round(l_quantity * l_extendedprice * l_tax, 4)", 4)
+      "l_quantity * l_extendedprice * l_tax", None)
 _line("x5_sum", {"operation": "sum", "inputs": ["l_quantity", "l_discount", "l_tax"]},
-      "round(l_quantity + l_discount + l_tax, 6)", 6)
+      "l_quantity + l_discount + l_tax", None)
 _line("x6_log", {"operation": "log", "inputs": ["l_tax"]},
       "round(ln(abs(CASE WHEN l_tax = 0 THEN 1e-6 ELSE l_tax END)), 6)", 6)
 _line("x7_binary_threshold",
@@ -376,14 +376,14 @@ def _apply_specs(spark: SparkSession, d: str) -> DataFrame:
     early, late = li.where("l_linenumber <= 4"), li.where("l_linenumber > 4")
     train, test, summary = derived.apply_specs(early, late, SPECS)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    return both.select(*LINE, "part", F.round("unit_price", 4).alias("unit_price"), F.round("unit_price_2", 4).alias("unit_price_2")).withColumn(
+    return both.select(*LINE, "part", "unit_price", "unit_price_2").withColumn(
         "failed", F.lit(len(summary["failed_features"]))
     )
 
 
 CAT.add("x10_apply_specs", _apply_specs,
-        f"""SELECT {SQL_LINE}, CASE WHEN l_linenumber <= 4 THEN 'train' ELSE 'test' END AS part, round(l_extendedprice / l_quantity, 4) AS unit_price,
- round(l_extendedprice - l_quantity, 4) AS unit_price_2, CAST(2 AS BIGINT) AS failed FROM lineitem""")
+        f"""SELECT {SQL_LINE}, CASE WHEN l_linenumber <= 4 THEN 'train' ELSE 'test' END AS part, l_extendedprice / l_quantity AS unit_price,
+ l_extendedprice - l_quantity AS unit_price_2, CAST(2 AS BIGINT) AS failed FROM lineitem""")
 
 
 def _spec_use(spark: SparkSession, d: str) -> DataFrame:
@@ -416,7 +416,7 @@ SQL_MODEL = f"""WITH {ORDERS_N}, s AS (SELECT median(o_totalprice) AS med, avg(o
  CAST(coalesce(code, 6) AS DOUBLE) AS o_orderpriority_encoded, CAST(coalesce(cnt, 0) AS DOUBLE) AS o_orderpriority_frequency,
  CAST(coalesce(month(o_orderdate), 0) AS DOUBLE) AS o_orderdate_month,
  CAST(coalesce(floor((epoch_us(o_orderdate) - t0) / 86400000000), 0) AS DOUBLE) AS o_orderdate_days_since_min,
- round(coalesce(o_totalprice / CASE WHEN o_custkey = 0 THEN 1e-6 ELSE o_custkey END, 0), 4) AS per_customer
+ coalesce(o_totalprice / CASE WHEN o_custkey = 0 THEN 1e-6 ELSE o_custkey END, 0) AS per_customer
  FROM s, orders_n LEFT JOIN v ON o_orderpriority = value)
 """
 MODEL_COLUMNS = [
@@ -427,7 +427,7 @@ MODEL_COLUMNS = [
 
 def _matrix(df: DataFrame) -> DataFrame:
     return df.select(
-        "o_orderkey", "o_orderstatus", F.round("o_totalprice_scaled", 6).alias("o_totalprice_scaled"), *MODEL_COLUMNS, F.round("per_customer", 4).alias("per_customer")
+        "o_orderkey", "o_orderstatus", F.round("o_totalprice_scaled", 6).alias("o_totalprice_scaled"), *MODEL_COLUMNS, "per_customer"
     )
 
 

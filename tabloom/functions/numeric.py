@@ -81,13 +81,18 @@ def bin_index(col: Column, edges: tuple[float, ...], clamp: bool = True) -> Colu
     return index.cast("int")
 
 
-def numeric_features(params: NumericParams, config: NumericConfig, source: Column | None = None) -> dict[str, Column]:
-    """All outputs for one numeric column, by name, in order."""
+def filled_value(params: NumericParams, source: Column | None = None) -> Column:
+    """The column as a number with gaps filled; compute it once, all features build on it."""
+    return impute(to_numeric(source if source is not None else F.col(params.column)), params.median)
+
+
+def numeric_features(
+    params: NumericParams, config: NumericConfig, value: Column | None = None, source: Column | None = None
+) -> dict[str, Column]:
+    """All outputs for one numeric column, by name, in order. ``value`` is the filled value if it is at hand."""
     name = params.column
     given = source if source is not None else F.col(name)
-    raw = to_numeric(given)
-    fill = params.median if params.median is not None else 0.0
-    value = impute(raw, fill)
+    value = value if value is not None else filled_value(params, given)
     out: dict[str, Column] = {}
     if config.enable_scaling:
         out[f"{name}_scaled"] = scale_standard(value, params.mean, params.std_pop)
@@ -102,7 +107,7 @@ def numeric_features(params: NumericParams, config: NumericConfig, source: Colum
         out[f"{name}_squared"] = value * value
         if config.polynomial_degree >= 3:
             out[f"{name}_cubed"] = value * value * value
-    out[f"{name}_above_median"] = (value > F.lit(float(fill))).cast("int")
+    out[f"{name}_above_median"] = (value > F.lit(float(params.median or 0.0))).cast("int")
     if params.has_null:
         absent = given.isNull() | F.coalesce(F.isnan(given.try_cast("double")), F.lit(False))
         out[f"{name}_was_missing"] = absent.cast("int")

@@ -97,10 +97,13 @@ def days_since(ts: Column, start: Column) -> Column:
     return F.floor((F.unix_micros(ts.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000))
 
 
-def datetime_features(params: TemporalParams, config: DateTimeConfig, source: Column | None = None) -> dict[str, Column]:
+def datetime_features(
+    params: TemporalParams, config: DateTimeConfig, ts: Column | None = None, source: Column | None = None
+) -> dict[str, Column]:
+    """All outputs for one date column. ``ts`` is the parsed timestamp if it is at hand."""
     name = params.column
     raw = source if source is not None else F.col(name)
-    ts = parse(raw, params.kind, params.epoch_unit)
+    ts = ts if ts is not None else parse(raw, params.kind, params.epoch_unit)
     out: dict[str, Column] = {}
     if config.enable_components:
         out.update({f"{name}_{k}": v for k, v in components(ts).items()})

@@ -67,6 +67,10 @@ def has_title(text: Column) -> Column:
     return text.rlike(TITLE).cast("int")
 
 
+def _joined(n: int):
+    return lambda gram: F.concat_ws(" ", *[gram[f"w{i}"] for i in range(n)])
+
+
 def terms(text: Column, stop_words: list[str], ngram_range: tuple[int, int] = (1, 2)) -> Column:
     """Lower-case words of two or more characters without stop words, and their n-grams."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
@@ -80,7 +84,7 @@ def terms(text: Column, stop_words: list[str], ngram_range: tuple[int, int] = (1
             continue
         shifted = [F.slice(words, F.lit(i + 1), F.greatest(F.size(words) - (n - 1), F.lit(0))) for i in range(n)]
         grams = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
-        parts.append(F.transform(grams, lambda g, n=n: F.concat_ws(" ", *[g[str(i)] for i in range(n)])))
+        parts.append(F.transform(grams, _joined(n)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

@@ -106,7 +106,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__cnt") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def column_values(df: DataFrame, columns: list[str] | None = None, digest_long: bool = False) -> DataFrame:
+def column_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, cnt): every non-null value as text with its count, for all columns in one scan.
 
     Counts are combined map-side, so a hot value costs one row per task in the shuffle.
@@ -115,8 +115,6 @@ def column_values(df: DataFrame, columns: list[str] | None = None, digest_long:
     entries = []
     for f in fields:
         value = clean(f.name, f.dataType).cast("string")
-        if digest_long and isinstance(f.dataType, T.StringType):
-            value = F.when(F.char_length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
         entries.append(F.struct(F.lit(f.name).alias("column"), value.alias("value")))
     return (
         df.select(F.explode(F.array(*entries)).alias("e"))
@@ -127,13 +125,29 @@ def column_values(df: DataFrame, columns: list[str] | None = None, digest_long:
     )
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, distinct): non-null distinct values of each column.
+
+    Each column is grouped in its own type by its own branch of one job: a branch reads only its column
+    from a columnar source, and no value is turned into text.
+    """
+    branches = []
+    for f in profilable(df):
+        if f.name in columns:
+            value = clean(f.name, f.dataType)
+            if isinstance(f.dataType, T.StringType):
+                value = F.when(F.char_length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+            values = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
+            branches.append(values.agg(F.count("*").alias("distinct")).select(F.lit(f.name).alias("column"), "distinct"))
+    return reduce(lambda a, b: a.unionByName(b), branches)
+
+
 def distinct_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, distinct, n, distinct_pct); nulls count in n only."""
-    counted = column_values(df, columns, digest_long=True).groupBy("column").agg(F.count("*").alias("distinct"))
-    sizes = null_counts(df).select("column", "n")
-    if columns is not None:
-        sizes = sizes.where(F.col("column").isin(list(columns)))
-    return sizes.join(F.broadcast(counted), "column", "left").select(
+    names = [f.name for f in profilable(df) if columns is None or f.name in columns]
+    sizes = null_counts(df.select(*[f"`{c}`" for c in names])).select("column", "n")
+    # one row per column on both sides
+    return sizes.join(F.broadcast(distinct_counts(df, names)), "column", "left").select(
         "column",
         F.coalesce("distinct", F.lit(0)).alias("distinct"),
         "n",
@@ -214,7 +228,7 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
                "is_integral": isinstance(f.dataType, INTEGRAL), "n": n}
         row.update({k: wide[f"c{i}_{k}"] for k in plan})
         row["present"] = n - row["nulls"]
-        row["distinct"] = min(row.pop("estimate", 0) or 0, row["present"])
+        row["distinct"] = min(row.pop("estimate", 0) or 0, row["present"])  # replaced below where it must be exact
         if row.get("var_pop") is not None and row["present"] > 1:
             row["var_samp"] = row["var_pop"] * row["present"] / (row["present"] - 1)
         rows.append(row)
@@ -223,8 +237,7 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
         if exact_distinct is True or (exact_distinct == "auto" and _needs_exact(r["distinct"], r["present"], n))
     ]
     if exact:
-        counted = column_values(df, exact, digest_long=True).groupBy("column").agg(F.count("*").alias("distinct")).collect()
-        found = {r["column"]: r["distinct"] for r in counted}
+        found = {r["column"]: r["distinct"] for r in distinct_counts(df, exact).collect()}
         for r in rows:
             if r["column"] in exact:
                 r["distinct"] = found.get(r["column"], 0)

@@ -19,15 +19,19 @@ ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], direct_rows: int = DIRECT_ROWS
+    df: DataFrame, columns: dict[str, Column], probs: list[float], direct_rows: int = DIRECT_ROWS, sizes: dict[str, int] | None = None
 ) -> dict[str, list[float] | None]:
-    """Interpolated quantiles of each named expression (nulls left out); None for an all-null one."""
+    """Interpolated quantiles of each named expression (nulls left out); None for an all-null one.
+
+    ``sizes`` are the non-null counts, where the caller knows them already.
+    """
     names = list(columns)
     if not names:
         return {}
     data = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    counts = data.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    sizes = {n: counts[f"n{i}"] for i, n in enumerate(names)}
+    if sizes is None:
+        counts = data.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+        sizes = {n: counts[f"n{i}"] for i, n in enumerate(names)}
     result: dict[str, list[float] | None] = {n: None for n in names}
     small = [i for i, n in enumerate(names) if 0 < sizes[n] <= direct_rows]
     if small:
@@ -98,8 +102,10 @@ def _ranked_by_sort(part: DataFrame, col: str, low: int, high: int, fraction: fl
     return row["a"] + fraction * (row["b"] - row["a"])
 
 
-def exact_medians(df: DataFrame, columns: dict[str, Column], direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
-    found = exact_quantiles(df, columns, [0.5], direct_rows)
+def exact_medians(
+    df: DataFrame, columns: dict[str, Column], direct_rows: int = DIRECT_ROWS, sizes: dict[str, int] | None = None
+) -> dict[str, float | None]:
+    found = exact_quantiles(df, columns, [0.5], direct_rows, sizes)
     return {n: (q[0] if q else None) for n, q in found.items()}
 
 

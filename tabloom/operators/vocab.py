@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tabloom.operators.ordered import GROUP_ROWS, row_number
 from tabloom.operators.profile import column_values
+from tabloom.session import cut_lineage
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1000
@@ -52,20 +53,28 @@ def label_codes(counts: DataFrame, bound: int = GROUP_ROWS, chunks: int | None =
     return numbered.withColumn("code", (F.col("code") - 1).cast("bigint"))
 
 
+VOCAB_SCHEMA = "column string, value string, cnt bigint, code bigint, kept boolean"
+
+
 def fit_vocabulary(df: DataFrame, columns: list[str], config: CategoricalConfig = CategoricalConfig()) -> DataFrame:
-    """(column, value, cnt, code, kept) for the given columns in one counting job.
+    """(column, value, cnt, code, kept) for the given columns, from one count of values.
 
-    With ``limit_codes`` values outside the top share the OTHER row, so a vocabulary stays below
-    ``max_categories`` rows per column; without it every value has a code and ``kept`` marks the top ones.
+    With ``limit_codes`` values outside the top share the OTHER row: the vocabulary is bounded by
+    ``max_categories`` rows per column and becomes a local table. Without it every value has a code,
+    ``kept`` marks the top ones, and the table stays distributed, written to the checkpoint folder.
     """
-    counts = value_counts(df, columns)
     if config.limit_codes:
-        return label_codes(top_categories(counts, config.max_categories)).withColumn("kept", F.lit(True))
+        top = top_categories(value_counts(df, columns), config.max_categories).collect()
+        place: dict[str, int] = {}
+        rows = []
+        for column, value, cnt in sorted((r["column"], r["value"], r["cnt"]) for r in top):
+            rows.append((column, value, cnt, place.get(column, 0), True))
+            place[column] = place.get(column, 0) + 1
+        return df.sparkSession.createDataFrame(rows, VOCAB_SCHEMA)
+    counts = cut_lineage(value_counts(df, columns))
     top = top_categories(counts, config.max_categories).where(F.col("value") != OTHER).select("column", "value")
-    coded = label_codes(counts)
-    return coded.join(top.withColumn("kept", F.lit(True)), ["column", "value"], "left").withColumn(
-        "kept", F.coalesce("kept", F.lit(False))
-    )
+    coded = label_codes(counts).join(F.broadcast(top.withColumn("kept", F.lit(True))), ["column", "value"], "left")
+    return cut_lineage(coded.withColumn("kept", F.coalesce("kept", F.lit(False))))
 
 
 def vocabulary_size(vocab: DataFrame) -> dict[str, tuple[int, int]]:

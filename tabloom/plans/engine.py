@@ -9,16 +9,18 @@ one projection plus a join per encoded column, so Catalyst prunes features nobod
 from __future__ import annotations
 
 import json
+import sys
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions import derived
 from tabloom.functions.hashing import bucket
 from tabloom.functions.numeric import (
-    NumericConfig, NumericParams, equal_width_edges, numeric_features, quantile_edges, to_numeric, usable_edges,
+    NumericConfig, NumericParams, equal_width_edges, filled_value, numeric_features, quantile_edges, to_numeric, usable_edges,
 )
 from tabloom.functions.temporal import DateTimeConfig, TemporalParams, datetime_features, parse
 from tabloom.functions.text import TextConfig, TextParams, text_features
@@ -29,6 +31,7 @@ from tabloom.operators.vocab import CategoricalConfig
 from tabloom.session import cut_lineage
 
 CONSTANT = "__constant__"
+MAX_DOUBLE = sys.float_info.max
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,19 @@ def coerce_fill_zero(col: Column) -> Column:
     return F.coalesce(to_numeric(col), F.lit(0.0))
 
 
+def finite_doubles(df: DataFrame, features: list[str]) -> DataFrame:
+    """All features as finite doubles, 0 where there is no value. Whole numbers and flags need no test for infinity."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    done = {}
+    for name in features:
+        col = F.col(f"`{name}`")
+        fractional = isinstance(types[name], (T.FloatType, T.DoubleType))
+        # NaN compares above infinity, so one range test takes out both
+        value = F.when(col.between(-MAX_DOUBLE, MAX_DOUBLE), col) if fractional else col.try_cast("double")
+        done[name] = F.coalesce(value, F.lit(0.0))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in done], *[done[n].alias(n) for n in features])
+
+
 class FeatureEngine(Estimator):
     """``fit`` a table; the result is a ``FeatureModel`` with the same output columns for every later batch."""
 
@@ -83,8 +99,11 @@ class FeatureEngine(Estimator):
         for c, r in used.items():
             by_type[r["detected_type"] if r["detected_type"] in by_type else "categorical"].append(c)
         pairs = [(a, b) for a, b in cfg.interactions if a in source.columns and b in source.columns]
+        measured = list(dict.fromkeys(by_type["numerical"] + [c for p in pairs for c in p]))
         medians = exact_medians(
-            source, {c: to_numeric(F.col(c)) for c in dict.fromkeys(by_type["numerical"] + [c for p in pairs for c in p])}
+            source, {c: to_numeric(F.col(c)) for c in measured},
+            # the profile has counted the numeric columns; texts must be counted after conversion
+            sizes={c: rows[c]["present"] for c in measured} if all(rows[c]["kind"] == "numeric" for c in measured) else None,
         )
         numeric = self._fit_numeric(source, by_type["numerical"], used, medians)
         temporal = self._fit_temporal(source, by_type["datetime"], used)
@@ -145,8 +164,7 @@ class FeatureEngine(Estimator):
         cfg = self.config.categorical
         vocab = vocabulary.fit_vocabulary(df, columns, cfg)
         if cfg.encoding_method == "target" and self.target:
-            vocab = self._with_target_means(df, vocab, columns)
-        vocab = cut_lineage(vocab)
+            vocab = cut_lineage(self._with_target_means(df, vocab, columns))
         sizes = vocabulary.vocabulary_size(vocab)
         others = {
             r["column"]: r["code"]
@@ -220,9 +238,9 @@ class FeatureModel(Model):
         out: list[tuple[str, str, str, Column]] = []
         for c in self.columns:
             if c in self.numeric:
-                made, processor = numeric_features(self.numeric[c], cfg.numeric), "numeric"
+                made, processor = numeric_features(self.numeric[c], cfg.numeric, F.col(f"__n_{c}")), "numeric"
             elif c in self.temporal:
-                made, processor = datetime_features(self.temporal[c], cfg.datetime), "datetime"
+                made, processor = datetime_features(self.temporal[c], cfg.datetime, F.col(f"__t_{c}")), "datetime"
             elif c in self.texts:
                 made, processor = text_features(self.texts[c], cfg.text), "text"
             else:
@@ -296,12 +314,16 @@ class FeatureModel(Model):
                 df = vocabulary.join_vocabulary(
                     df, self.vocab, c, F.col(c).cast("string"), fields, f"__v_{c}_", p.bytes, self.config.broadcast_bytes
                 )
+        # values all features of a column share are computed once, in a projection of their own
+        shared = {f"__n_{c}": filled_value(p) for c, p in self.numeric.items() if c in sources}
+        shared.update({f"__t_{c}": parse(F.col(c), p.kind, p.epoch_unit) for c, p in self.temporal.items() if c in sources})
+        df = df.withColumns(shared) if shared else df
         for c, terms in self.terms.items():
             if c in sources and terms:
                 df = tfidf.tfidf_vectors(df, c, terms, self.config.text, f"__tfidf_{c}")
                 df = df.withColumn(f"__tfidf_{c}", vector_to_array(F.col(f"__tfidf_{c}")))
         kept = [c for c in dict.fromkeys([*self.config.keep, *([self.target] if self.target else [])]) if c in dataset.columns]
-        return df.select(*kept, *[coerce_fill_zero(expr).alias(name) for _, _, name, expr in outputs])
+        return finite_doubles(df.select(*kept, *[expr.alias(name) for _, _, name, expr in outputs]), [o[2] for o in outputs])
 
     def _aligned(self, dataset: DataFrame) -> DataFrame:
         """A batch may lack columns the model was fitted on: they arrive as nulls."""
