@@ -234,8 +234,8 @@ CAT.add(
 )
 STOP = ("the", "and", "of", "to", "in", "is", "it", "that", "was", "for", "on", "as", "with", "by", "at", "le", "la", "les", "der", "die", "das")
 TFIDF = text.TextConfig(enable_tfidf=True, max_tfidf_features=50, stop_words=STOP)
-SQL_TERMS = r"""w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), x -> NOT list_contains([%s], x)) AS words FROM documents),
- t AS (SELECT doc_id, unnest(list_concat(words, list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]))) AS term FROM w),
+SQL_TERMS = r"""w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: NOT list_contains([%s], x)) AS words FROM documents),
+ t AS (SELECT doc_id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS term FROM w),
  dt AS (SELECT doc_id, term, count(*) AS c FROM t GROUP BY 1, 2),
  g AS (SELECT term, sum(c) AS tf, count(*) AS df FROM dt GROUP BY 1),
  top AS (SELECT term, tf, df FROM g ORDER BY tf DESC, term LIMIT 50),

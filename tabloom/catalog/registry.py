@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tabloom.catalog import features, ingest, profiling
+from tabloom.catalog import choosing, features, ingest, profiling, results
 from tabloom.catalog.common import Catalog
 
 
 def catalog() -> Catalog:
     merged = Catalog()
-    for module in (ingest, profiling, features):
+    for module in (ingest, profiling, features, choosing, results):
         merged.update(module.CAT)
     return merged
