@@ -67,27 +67,27 @@ def has_title(text: Column) -> Column:
     return text.rlike(TITLE).cast("int")
 
 
-def _joined(n: int):
-    return lambda gram: F.concat_ws(" ", *[gram[f"w{i}"] for i in range(n)])
+def words(text: Column, stop_words: list[str]) -> Column:
+    """Lower-case words of two or more characters without stop words."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found
 
 
-def terms(text: Column, stop_words: list[str], ngram_range: tuple[int, int] = (1, 2)) -> Column:
-    """Lower-case words of two or more characters without stop words, and their n-grams."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
+def ngrams(words: Column, ngram_range: tuple[int, int] = (1, 2)) -> Column:
+    """All n-grams of a words column (give a computed column: it is read once per n)."""
     low, high = ngram_range
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(words)
-            continue
-        shifted = [F.slice(words, F.lit(i + 1), F.greatest(F.size(words) - (n - 1), F.lit(0))) for i in range(n)]
-        grams = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
-        parts.append(F.transform(grams, _joined(n)))
+    parts = [words if n == 1 else _grams(words, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _grams(words: Column, n: int) -> Column:
+    size = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    grams = F.slice(words, F.lit(1), size)
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k), size), lambda left, right: F.concat_ws(" ", left, right))
+    return grams
+
+
 def text_features(params: TextParams, config: TextConfig, source: Column | None = None) -> dict[str, Column]:
     name = params.column
     raw = source if source is not None else F.col(name)

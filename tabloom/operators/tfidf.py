@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, Window
 
-from tabloom.functions.text import TextConfig, terms
+from tabloom.functions.text import TextConfig, ngrams, words
 
 
 def stop_words(config: TextConfig) -> list[str]:
@@ -18,14 +18,13 @@ def stop_words(config: TextConfig) -> list[str]:
 
 def term_counts(df: DataFrame, column: str, config: TextConfig) -> DataFrame:
     """(term, tf, df): occurrences and documents per term, in one pass and one map-side combined shuffle."""
-    words = df.where(F.col(column).isNotNull()).select(terms(F.col(column), stop_words(config), config.ngram_range).alias("t"))
+    found = df.where(F.col(column).isNotNull()).select(words(F.col(column), stop_words(config)).alias("w"))
+    listed = found.select(ngrams(F.col("w"), config.ngram_range).alias("t"))
     marked = F.concat(
         F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
     )
-    return words.select(F.explode(marked).alias("e")).select("e.*").groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.sum("df").alias("df")
-    )
+    return listed.select(F.explode(marked).alias("e")).groupBy("e.term").agg(F.sum("e.tf").alias("tf"), F.sum("e.df").alias("df"))
 
 
 def fit_terms(df: DataFrame, column: str, config: TextConfig) -> DataFrame:
@@ -39,9 +38,10 @@ def fit_terms(df: DataFrame, column: str, config: TextConfig) -> DataFrame:
 
 def tfidf_vectors(df: DataFrame, column: str, vocabulary: list[tuple[str, float]], config: TextConfig, out: str) -> DataFrame:
     """Adds the normalised TF-IDF vector; ``vocabulary`` is (term, idf) in index order. No shuffle."""
-    words, counts, weighted = f"{out}__t", f"{out}__c", f"{out}__w"
-    with_terms = df.withColumn(words, terms(F.coalesce(F.col(column), F.lit("")), stop_words(config), config.ngram_range))
-    counter = CountVectorizerModel.from_vocabulary([t for t, _ in vocabulary], inputCol=words, outputCol=counts)
+    found, listed, counts, weighted = (f"{out}__{k}" for k in ("w", "t", "c", "x"))
+    with_words = df.withColumn(found, words(F.coalesce(F.col(column), F.lit("")), stop_words(config)))
+    with_terms = with_words.withColumn(listed, ngrams(F.col(found), config.ngram_range))
+    counter = CountVectorizerModel.from_vocabulary([t for t, _ in vocabulary], inputCol=listed, outputCol=counts)
     weights = ElementwiseProduct(scalingVec=Vectors.dense([i for _, i in vocabulary]), inputCol=counts, outputCol=weighted)
     norm = Normalizer(p=2.0, inputCol=weighted, outputCol=out)
-    return norm.transform(weights.transform(counter.transform(with_terms))).drop(words, counts, weighted)
+    return norm.transform(weights.transform(counter.transform(with_terms))).drop(found, listed, counts, weighted)
