@@ -49,7 +49,7 @@ def _cv(name: str, problem: str, data, params: dict | None = None, classes: int
     def query(spark: SparkSession, d: str) -> DataFrame:
         frame = data(spark, d).persist()
         try:
-            return _scores(spark, [training.cross_validate(frame, name, problem, 5, params, frame.count(), classes)])
+            return _scores(spark, [training.cross_validate(frame, name, problem, 5, params, classes)])
         finally:
             frame.unpersist()
 
@@ -88,7 +88,7 @@ def _search(spark: SparkSession, d: str) -> DataFrame:
     try:
         rows = frame.count()
         sample = training.hash_sample(frame, "key", training.search_budget(rows).sample_share)
-        return _scores(spark, [training.search(sample, training.RIDGE, "regression", 4, 3, rows=rows)])
+        return _scores(spark, [training.search(sample, training.RIDGE, "regression", 4, 3)])
     finally:
         frame.unpersist()
 
@@ -99,11 +99,10 @@ CAT.add("m9_search", _search)
 def _stack(spark: SparkSession, d: str) -> DataFrame:
     frame = _price(spark, d).persist()
     try:
-        rows = frame.count()
         members = [
             training.CvResult(training.LINEAR, []), training.CvResult(training.FOREST, [], {"n_estimators": 5, "max_depth": 4}),
         ]
-        model = training.fit_stack(frame, members, "regression", list(range(5)), rows)
+        model = training.fit_stack(frame, members, "regression", list(range(5)))
         return model.transform(frame).groupBy("fold").agg(training.metric("regression").alias("score"), F.count("*").alias("n"))
     finally:
         frame.unpersist()
@@ -117,7 +116,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     try:
         params = {training.FOREST: {"n_estimators": 5, "max_depth": 4}, training.RIDGE: {"alpha": 0.1}}
         results = training.run_candidates(
-            frame, [training.LINEAR, training.RIDGE, training.FOREST, "Unknown Model"], "regression", 3, rows=frame.count(), params=params
+            frame, [training.LINEAR, training.RIDGE, training.FOREST, "Unknown Model"], "regression", 3, params=params
         )
         return training.leaderboard(spark, "r1", results).drop("params")
     finally:

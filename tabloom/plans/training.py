@@ -70,17 +70,22 @@ LARGE_ROWS = 1_000_000
 SEARCH_SAMPLE_ROWS = 200_000
 
 
-def build_model(name: str, problem: str, params: dict | None = None, rows: int | None = None, classes: int = 2, seed: int = 42) -> Estimator:
-    """An MLlib estimator from a candidate name and parameters in the usual tabular names."""
+def build_model(
+    name: str, problem: str, params: dict | None = None, classes: int = 2, rows: int = 1, label_std: float = 1.0, seed: int = 42
+) -> Estimator:
+    """An MLlib estimator from a candidate name and parameters in the usual tabular names.
+
+    ``rows`` and ``label_std`` of the training rows scale the penalty: ``alpha`` weighs against a sum of
+    squared errors, ``regParam`` against their mean over a standardised label.
+    """
     p = dict(params or {})
     if name == LINEAR:
         return LinearRegression(fitIntercept=p.get("fit_intercept", True), solver="auto")
     if name == RIDGE:
-        # alpha penalises the sum of squared errors, MLlib's regParam their mean
-        return LinearRegression(regParam=p.get("alpha", 1.0) / max(rows or 1, 1), elasticNetParam=0.0)
+        return LinearRegression(regParam=p.get("alpha", 1.0) * label_std / max(rows, 1), elasticNetParam=0.0)
     if name == LOGISTIC:
         strength = 1.0 / p["C"] if "C" in p else p.get("alpha", 0.0)
-        return LogisticRegression(maxIter=p.get("max_iter", 1000), regParam=strength / max(rows or 1, 1), tol=1e-6)
+        return LogisticRegression(maxIter=p.get("max_iter", 1000), regParam=strength / max(rows, 1), tol=1e-6)
     if name == FOREST:
         subset = {"sqrt": "sqrt", "log2": "log2", "all": "all"}.get(p.get("max_features", "auto"), "auto")
         make = RandomForestRegressor if problem == "regression" else RandomForestClassifier
@@ -100,6 +105,14 @@ def build_model(name: str, problem: str, params: dict | None = None, rows: int |
     raise ValueError(f"unknown model '{name}'")
 
 
+def fit_model(data: DataFrame, name: str, problem: str, params: dict | None = None, classes: int = 2) -> Model:
+    """Fit a candidate on assembled rows."""
+    if name not in (RIDGE, LOGISTIC):
+        return build_model(name, problem, params, classes).fit(data)
+    facts = data.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("std")).first()
+    return build_model(name, problem, params, classes, facts["n"], facts["std"] or 1.0).fit(data)
+
+
 def candidates(problem: str) -> list[str]:
     return [LINEAR, RIDGE, FOREST, BOOSTING] if problem == "regression" else [LOGISTIC, FOREST, BOOSTING]
 
@@ -190,11 +203,11 @@ class CvResult:
         return math.sqrt(sum((s - self.mean) ** 2 for s in self.scores) / len(self.scores)) if self.scores else float("nan")
 
 
-def cross_validate(data: DataFrame, name: str, problem: str, folds: int = 5, params: dict | None = None, rows: int | None = None, classes: int = 2) -> CvResult:
+def cross_validate(data: DataFrame, name: str, problem: str, folds: int = 5, params: dict | None = None, classes: int = 2) -> CvResult:
     """Score per fold on assembled data (features, label, fold)."""
     scores = []
     for f in range(folds):
-        model = build_model(name, problem, params, rows, classes).fit(data.where(F.col("fold") != f))
+        model = fit_model(data.where(F.col("fold") != f), name, problem, params, classes)
         value = model.transform(data.where(F.col("fold") == f)).agg(metric(problem)).first()[0]
         if value is not None:
             scores.append(float(value))
@@ -227,7 +240,7 @@ def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def search(
-    data: DataFrame, name: str, problem: str, trials: int, folds: int = 5, seed: int = 42, rows: int | None = None,
+    data: DataFrame, name: str, problem: str, trials: int, folds: int = 5, seed: int = 42,
     classes: int = 2, workers: int = 2, on_trial: Callable[[str, int, float], None] | None = None,
 ) -> CvResult:
     """Random search; trials run as concurrent Spark jobs. Failed trials are left out."""
@@ -236,34 +249,34 @@ def search(
     def run(item: tuple[int, dict]) -> CvResult | None:
         number, params = item
         try:
-            result = cross_validate(data, name, problem, folds, params, rows, classes)
+            result = cross_validate(data, name, problem, folds, params, classes)
         except Exception:  # a trial's own failure must not end the search
             return None
         if on_trial:
             on_trial(name, number, result.mean)
         return result
 
-    results = [r for r in _in_threads(run, list(enumerate(drawn)), workers) if r and r.scores]
+    results = [r for r in _in_threads(data.sparkSession, run, list(enumerate(drawn)), workers) if r and r.scores]
     if not results:
-        return cross_validate(data, name, problem, folds, None, rows, classes)
+        return cross_validate(data, name, problem, folds, None, classes)
     best = max(results, key=lambda r: r.mean)
     best.tuned = True
     return best
 
 
-def _in_threads(run: Callable, items: list, workers: int) -> list:
+def _in_threads(spark: SparkSession, run: Callable, items: list, workers: int) -> list:
     if workers <= 1 or len(items) <= 1:
         return [run(i) for i in items]
     pool = ThreadPool(min(workers, len(items)))
     try:
-        return pool.map(inheritable_thread_target(run), items)
+        return pool.map(inheritable_thread_target(spark)(run), items)
     finally:
         pool.close()
 
 
 def run_candidates(
     data: DataFrame, names: list[str], problem: str, folds: int = 5, tune: list[str] | None = None, trials: int = 10,
-    rows: int | None = None, classes: int = 2, workers: int = 3, params: dict[str, dict] | None = None,
+    classes: int = 2, workers: int = 3, params: dict[str, dict] | None = None,
 ) -> list[CvResult]:
     """Cross-validate (and search) all candidates concurrently, each in its own scheduler pool."""
     sc = data.sparkSession.sparkContext
@@ -272,14 +285,14 @@ def run_candidates(
         sc.setLocalProperty("spark.scheduler.pool", name)
         try:
             if tune and name in tune:
-                return search(data, name, problem, trials, folds, rows=rows, classes=classes, workers=1)
-            return cross_validate(data, name, problem, folds, (params or {}).get(name), rows, classes)
+                return search(data, name, problem, trials, folds, classes=classes, workers=1)
+            return cross_validate(data, name, problem, folds, (params or {}).get(name), classes)
         except Exception as problem_found:  # recorded in the leaderboard, the other candidates go on
             return CvResult(name, [], status=f"failed: {type(problem_found).__name__}: {problem_found}"[:500])
         finally:
             sc.setLocalProperty("spark.scheduler.pool", None)
 
-    return _in_threads(run, names, workers)
+    return _in_threads(data.sparkSession, run, names, workers)
 
 
 # -- stacking -----------------------------------------------------------------------------------------
@@ -305,19 +318,18 @@ def _meta_columns(members: list, classes: int, problem: str) -> list[str]:
     return [f"m{i}_1" for i in range(len(members))]
 
 
-def _meta_model(problem: str, rows: int | None) -> Estimator:
-    if problem == "regression":
-        return LinearRegression(featuresCol="meta", regParam=1.0 / max(rows or 1, 1), elasticNetParam=0.0)
-    return LogisticRegression(featuresCol="meta", maxIter=1000)
+def _fit_meta(data: DataFrame, problem: str) -> Model:
+    model = fit_model(data.withColumn("features", F.col("meta")), RIDGE if problem == "regression" else LOGISTIC, problem)
+    return model.setFeaturesCol("meta")
 
 
-def out_of_fold(data: DataFrame, members: list[CvResult], problem: str, folds: list[int], rows: int | None, classes: int) -> DataFrame:
+def out_of_fold(data: DataFrame, members: list[CvResult], problem: str, folds: list[int], classes: int) -> DataFrame:
     """Every row with the predictions of members fitted without its fold."""
     slices = []
     for f in folds:
         rest, held = data.where((F.col("fold") != f) & F.col("fold").isin(folds)), data.where(F.col("fold") == f)
         for i, m in enumerate(members):
-            model = build_model(m.model, problem, m.params, rows, classes).fit(rest)
+            model = fit_model(rest, m.model, problem, m.params, classes)
             held = _predict_into(model, held, f"m{i}", problem, classes)
         slices.append(held)
     result = slices[0]
@@ -345,20 +357,20 @@ class StackedModel:
         return scored.select(*columns, "prediction", *extra)
 
 
-def fit_stack(data: DataFrame, members: list[CvResult], problem: str, folds: list[int], rows: int | None = None, classes: int = 2) -> StackedModel:
+def fit_stack(data: DataFrame, members: list[CvResult], problem: str, folds: list[int], classes: int = 2) -> StackedModel:
     metas = _meta_columns(members, classes, problem)
-    oof = cut_lineage(out_of_fold(data, members, problem, folds, rows, classes))
-    meta = _meta_model(problem, rows).fit(VectorAssembler(inputCols=metas, outputCol="meta").transform(oof))
-    bases = [build_model(m.model, problem, m.params, rows, classes).fit(data) for m in members]
+    oof = cut_lineage(out_of_fold(data, members, problem, folds, classes))
+    meta = _fit_meta(VectorAssembler(inputCols=metas, outputCol="meta").transform(oof), problem)
+    bases = [fit_model(data, m.model, problem, m.params, classes) for m in members]
     return StackedModel(bases, meta, problem, classes)
 
 
-def stack_scores(data: DataFrame, members: list[CvResult], problem: str, folds: int = 5, rows: int | None = None, classes: int = 2) -> CvResult:
+def stack_scores(data: DataFrame, members: list[CvResult], problem: str, folds: int = 5, classes: int = 2) -> CvResult:
     """Nested evaluation: the stack is fitted anew without each fold and scored on it."""
     scores = []
     for f in range(folds):
         inner = [i for i in range(folds) if i != f]
-        stacked = fit_stack(data.where(F.col("fold") != f), members, problem, inner, rows, classes)
+        stacked = fit_stack(data.where(F.col("fold") != f), members, problem, inner, classes)
         value = stacked.transform(data.where(F.col("fold") == f)).agg(metric(problem)).first()[0]
         if value is not None:
             scores.append(float(value))
