@@ -12,6 +12,7 @@ from tabloom.functions.hashing import bucket
 from tabloom.operators import target, tfidf, vocab
 from tabloom.operators.quantiles import exact_medians, exact_quantiles
 from tabloom.plans import engine
+from tabloom.session import spread
 
 CAT = Catalog()
 
@@ -249,7 +250,7 @@ CAT.add(
 
 
 def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     words = [(r["term"], r["idf"]) for r in tfidf.fit_terms(docs, "text", TFIDF).orderBy("idx").collect()]
     from pyspark.ml.functions import vector_to_array
 

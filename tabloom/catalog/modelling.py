@@ -47,7 +47,7 @@ def _scores(spark: SparkSession, results: list[training.CvResult]) -> DataFrame:
 
 def _cv(name: str, problem: str, data, params: dict | None = None, classes: int = 2):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        frame = data(spark, d).persist()
+        frame = training.training_frame(data(spark, d))
         try:
             return _scores(spark, [training.cross_validate(frame, name, problem, 5, params, classes)])
         finally:
@@ -84,7 +84,7 @@ CAT.add("m5_gradient_boosting_multiclass", _multiclass_boosting)
 
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
-    frame = _price(spark, d).persist()
+    frame = training.training_frame(_price(spark, d))
     try:
         rows = frame.count()
         sample = training.hash_sample(frame, "key", training.search_budget(rows).sample_share)
@@ -97,7 +97,7 @@ CAT.add("m9_search", _search)
 
 
 def _stack(spark: SparkSession, d: str) -> DataFrame:
-    frame = _price(spark, d).persist()
+    frame = training.training_frame(_price(spark, d))
     try:
         members = [
             training.CvResult(training.LINEAR, []), training.CvResult(training.FOREST, [], {"n_estimators": 5, "max_depth": 4}),
@@ -112,7 +112,7 @@ CAT.add("m14_stacking", _stack)
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    frame = _price(spark, d).persist()
+    frame = training.training_frame(_price(spark, d))
     try:
         params = {training.FOREST: {"n_estimators": 5, "max_depth": 4}, training.RIDGE: {"alpha": 0.1}}
         results = training.run_candidates(

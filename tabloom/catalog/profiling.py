@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import ORDERS_N, Catalog, orders_with_nulls, rounded, table
 from tabloom.operators import domains, infer, profile, selection
+from tabloom.session import spread
 
 CAT = Catalog()
 
@@ -320,7 +321,8 @@ CAT.add(
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
     """A catalog that grows with the data: words of the documents serve as column names of their source."""
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))))
-    return table(spark, d, "documents").select(F.col("source").alias("table"), words.alias("column")).distinct()
+    docs = spread(table(spark, d, "documents").select("source", "text"))
+    return docs.select(F.col("source").alias("table"), words.alias("column")).distinct()
 
 
 SQL_CATALOG = """cat AS (SELECT DISTINCT source AS "table", unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS "column" FROM documents)"""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import spread
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -220,7 +222,7 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
     """
     fields = profilable(df)
     plans = [(i, f, _column_aggregates(f, exact_distinct is not True)) for i, f in enumerate(fields)]
-    wide = df.agg(F.count("*").alias("n"), *[e.alias(f"c{i}_{k}") for i, _, plan in plans for k, e in plan.items()]).first()
+    wide = spread(df).agg(F.count("*").alias("n"), *[e.alias(f"c{i}_{k}") for i, _, plan in plans for k, e in plan.items()]).first()
     n = wide["n"]
     rows = []
     for i, f, plan in plans:

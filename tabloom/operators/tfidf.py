@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tabloom.functions.text import TextConfig, ngrams, words
+from tabloom.session import spread
 
 
 def stop_words(config: TextConfig) -> list[str]:
@@ -18,7 +19,7 @@ def stop_words(config: TextConfig) -> list[str]:
 
 def term_counts(df: DataFrame, column: str, config: TextConfig) -> DataFrame:
     """(term, tf, df): occurrences and documents per term, in one pass and one map-side combined shuffle."""
-    found = df.where(F.col(column).isNotNull()).select(words(F.col(column), stop_words(config)).alias("w"))
+    found = spread(df.select(column).where(F.col(column).isNotNull())).select(words(F.col(column), stop_words(config)).alias("w"))
     listed = found.select(ngrams(F.col("w"), config.ngram_range).alias("t"))
     marked = F.concat(
         F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),

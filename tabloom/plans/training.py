@@ -21,7 +21,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tabloom.functions.hashing import HASH_SPACE, hash32
-from tabloom.session import cut_lineage
+from tabloom.session import cut_lineage, spread
 
 LINEAR, RIDGE, LOGISTIC, FOREST, BOOSTING = (
     "Linear Regression", "Ridge", "Logistic Regression", "Random Forest", "Gradient Boosting",
@@ -186,6 +186,11 @@ def metric(problem: str) -> Column:
     return -F.avg(error * error) if problem == "regression" else F.avg((F.col("prediction") == F.col("label")).cast("double"))
 
 
+def training_frame(data: DataFrame) -> DataFrame:
+    """Assembled rows on all cores and kept for the many fits; the caller unpersists."""
+    return spread(data).persist()
+
+
 @dataclass
 class CvResult:
     model: str

@@ -38,6 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input that has fewer partitions than the cluster has cores (a few files with one row group
+    each) over all cores, before work that costs more than the shuffle. Larger inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of an executor and keep their chunk."""
     ensure_checkpoint_dir(df.sparkSession)
