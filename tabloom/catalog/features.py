@@ -250,12 +250,13 @@ CAT.add(
 
 
 def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     words = [(r["term"], r["idf"]) for r in tfidf.fit_terms(docs, "text", TFIDF).orderBy("idx").collect()]
     from pyspark.ml.functions import vector_to_array
 
-    vectors = tfidf.tfidf_vectors(docs, "text", words, TFIDF, "v").select("doc_id", vector_to_array("v").alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("idx", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 6))
+    vectors = tfidf.tfidf_vectors(spread(docs), "text", words, TFIDF, "v").select("doc_id", vector_to_array("v").alias("v"))
+    # the outer form keeps the optimizer from testing the vector's size first, which would build every vector twice
+    return vectors.select("doc_id", F.posexplode_outer("v").alias("idx", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 6))
 
 
 CAT.add(

@@ -182,7 +182,7 @@ def _column_aggregates(f: T.StructField, estimate: bool) -> dict[str, Column]:
             mean_len=F.avg(F.char_length(col)),
             mean_words=F.avg(F.regexp_count(col, F.lit(r"[^ \t\n\x0B\f\r]+"))),
             space_share=F.avg(col.contains(" ").cast("double")),
-            separator_share=F.avg(col.rlike("[-/:]").cast("double")),
+            separator_share=F.avg((col.contains("-") | col.contains("/") | col.contains(":")).cast("double")),
             digits_share=F.avg(col.rlike("^[0-9]{7,}$").cast("double")),
             id_text_share=F.avg(_any_of(col, ID_TEXT).cast("double")),
             date_share=F.avg(F.when(col.isNotNull(), parsed.isNotNull().cast("double"))),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.text import TextConfig, ngrams, words
 from tabloom.session import spread
@@ -17,24 +19,40 @@ def stop_words(config: TextConfig) -> list[str]:
     return list(StopWordsRemover.loadDefaultStopWords("english"))
 
 
+ALL_DOCUMENTS = ""
+
+
 def term_counts(df: DataFrame, column: str, config: TextConfig) -> DataFrame:
-    """(term, tf, df): occurrences and documents per term, in one pass and one map-side combined shuffle."""
-    found = spread(df.select(column).where(F.col(column).isNotNull())).select(words(F.col(column), stop_words(config)).alias("w"))
+    """(term, tf, df): occurrences and documents per term, in one pass and one map-side combined shuffle.
+
+    The empty term, which no text can hold, stands for the documents themselves: its df is their number.
+    """
+    texts = spread(df.select(column).where(F.col(column).isNotNull()))
+    found = texts.select(words(F.col(column), stop_words(config)).alias("w"))
     listed = found.select(ngrams(F.col("w"), config.ngram_range).alias("t"))
+
+    def entry(term: Column, tf: int, in_documents: int) -> Column:
+        return F.struct(term.alias("term"), F.lit(tf).alias("tf"), F.lit(in_documents).alias("df"))
+
     marked = F.concat(
-        F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+        F.array(entry(F.lit(ALL_DOCUMENTS), 0, 1)),
+        F.transform("t", lambda t: entry(t, 1, 0)),
+        F.transform(F.array_distinct("t"), lambda t: entry(t, 0, 1)),
     )
     return listed.select(F.explode(marked).alias("e")).groupBy("e.term").agg(F.sum("e.tf").alias("tf"), F.sum("e.df").alias("df"))
 
 
 def fit_terms(df: DataFrame, column: str, config: TextConfig) -> DataFrame:
-    """(column, term, idx, tf, df, idf): the most frequent terms, numbered in alphabetical order."""
-    n = df.agg(F.count(column)).first()[0]
-    top = term_counts(df, column, config).orderBy(F.desc("tf"), F.asc("term")).limit(config.max_tfidf_features)
-    numbered = top.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)
-    idf = F.ln((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return numbered.select(F.lit(column).alias("column"), "term", "idx", "tf", "df", idf.alias("idf"))
+    """(column, term, idx, tf, df, idf): the most frequent terms, numbered in alphabetical order.
+
+    The result has ``max_tfidf_features`` rows at most, so it is made on the driver from one top-k job.
+    """
+    everything = F.col("term") == ALL_DOCUMENTS
+    best = term_counts(df, column, config).orderBy(F.desc(everything), F.desc("tf"), F.asc("term")).limit(config.max_tfidf_features + 1).collect()
+    documents = sum(r["df"] for r in best if r["term"] == ALL_DOCUMENTS)
+    kept = sorted((r["term"], r["tf"], r["df"]) for r in best if r["term"] != ALL_DOCUMENTS)
+    rows = [(column, t, i, tf, n, math.log((1 + documents) / (1 + n)) + 1) for i, (t, tf, n) in enumerate(kept)]
+    return df.sparkSession.createDataFrame(rows, "column string, term string, idx int, tf bigint, df bigint, idf double")
 
 
 def tfidf_vectors(df: DataFrame, column: str, vocabulary: list[tuple[str, float]], config: TextConfig, out: str) -> DataFrame:
