@@ -398,6 +398,17 @@ def _spec_use(spark: SparkSession, d: str) -> DataFrame:
 
 CAT.add("x8_feature_spec", _spec_use, "SELECT unnest(['unit_price', 'unit_price_2']) AS feature, count(*) AS present FROM lineitem")
 
+
+
+def _unique_names(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(*LINE, "l_quantity", "l_tax")
+    same = [{"name": "l_tax", "operation": "sum", "inputs": ["l_quantity", "l_tax"]}] * 2
+    return derived.apply_specs(li, li, same)[0].drop("l_quantity")
+
+
+CAT.add("x9_unique_name", _unique_names,
+        f"SELECT {SQL_LINE}, l_tax, l_quantity + l_tax AS l_tax_2, l_quantity + l_tax AS l_tax_3 FROM lineitem")
+
 # -- engine and assembly --------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.hashing import bucket, hash32
 from tabloom.operators.quantiles import hash_cutoffs
+from tabloom.session import cut_lineage
 
 SMALL_ROWS = 10_000
 
@@ -22,7 +23,8 @@ def kfold(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame:
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, out: str = "fold") -> DataFrame:
     """Folds with the class shares kept: the fold is the number of the class's hash cutoffs below the row's hash."""
     shares = [i / k for i in range(1, k)]
-    cutoffs = (
+    # at most k - 1 values per class; written once, so that counting them does not compute them again
+    cutoffs = cut_lineage(
         hash_cutoffs(df, F.col(label), hash32(key), shares)
         .groupBy("grp").agg(F.sort_array(F.collect_list("cutoff")).alias("__cuts"))
     )
@@ -37,7 +39,7 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, out: str =
 
 def below_cutoff(df: DataFrame, label: str, hashed: Column, share: float, out: str) -> DataFrame:
     """Flags the given share of each class, taking the rows with the smallest hashes."""
-    cutoffs = hash_cutoffs(df, F.col(label), hashed, [share]).select("grp", "cutoff")
+    cutoffs = cut_lineage(hash_cutoffs(df, F.col(label), hashed, [share]).select("grp", "cutoff"))
     joined = df.withColumn("__h", hashed).join(
         broadcast_if_small(cutoffs), F.col(label).eqNullSafe(F.col("grp")), "left"
     )

@@ -25,6 +25,7 @@ from tabloom.functions.numeric import (
 from tabloom.functions.temporal import DateTimeConfig, TemporalParams, datetime_features, parse
 from tabloom.functions.text import TextConfig, TextParams, text_features
 from tabloom.operators import tfidf, vocab as vocabulary
+from tabloom.operators.folds import broadcast_if_small
 from tabloom.operators.infer import typed_profile
 from tabloom.operators.quantiles import exact_medians, exact_quantiles
 from tabloom.operators.vocab import CategoricalConfig
@@ -334,15 +335,17 @@ class FeatureModel(Model):
     def encode_out_of_fold(self, df: DataFrame, features: DataFrame, key: str, k: int = 5) -> DataFrame:
         """Replace the target encodings of training rows by means taken outside each row's fold."""
         fold = bucket(key, k)
-        result = features
+        rows = df.select(F.col(key), fold.alias("__fold"), *[F.col(c).cast("string").alias(f"__c_{c}") for c in self.categories])
         for c in self.categories:
-            encoded = vocabulary.target_encoding(df, c, self.target, fold)
-            rows = df.select(F.col(key), F.col(c).cast("string").alias("__value"), fold.alias("__fold"))
-            by_key = rows.join(
-                encoded, F.col("__value").eqNullSafe(F.col("value")) & (F.col("__fold") == F.col("fold")), "left"
-            ).select(key, F.coalesce("encoded", F.lit(0.0)).alias(f"{c}_target"))
-            result = result.drop(f"{c}_target").join(by_key, key, "left")
-        return result
+            encoded = vocabulary.target_encoding(df, c, self.target, fold).select(
+                F.col("value").alias("__value"), F.col("fold").alias("__f"), F.col("encoded").alias(f"{c}_target")
+            )
+            # a small table of means is broadcast after counting it; a large one joins by shuffle, where
+            # adaptive execution splits the partition of a hot value
+            match = F.col(f"__c_{c}").eqNullSafe(F.col("__value")) & (F.col("__fold") == F.col("__f"))
+            rows = rows.join(broadcast_if_small(encoded), match, "left").drop("__value", "__f")
+        made = rows.select(key, *[F.coalesce(f"{c}_target", F.lit(0.0)).alias(f"{c}_target") for c in self.categories])
+        return features.drop(*[f"{c}_target" for c in self.categories]).join(made, key, "left")
 
     # -- persistence ----------------------------------------------------------------------------
 

@@ -38,15 +38,19 @@ class SelectionResult:
     problem: str
 
 
+def numeric_label(df: DataFrame, label: str, out: str = "label") -> DataFrame:
+    """The label as a double; texts and flags are numbered alphabetically over the whole table."""
+    if not isinstance(df.schema[label].dataType, (T.StringType, T.BooleanType)):
+        return df.withColumn(out, F.col(label).cast("double"))
+    text = df.withColumn("__text", F.col(label).cast("string"))
+    indexer = StringIndexer(inputCol="__text", outputCol=out, stringOrderType="alphabetAsc").fit(text)
+    return indexer.transform(text).drop("__text")
+
+
 def assembled(df: DataFrame, features: list[str], label: str, extra: list[str] | None = None) -> DataFrame:
-    """(features vector, label double, extra...); class labels that are no numbers are indexed alphabetically."""
-    if isinstance(df.schema[label].dataType, (T.StringType, T.BooleanType)):
-        text = df.withColumn("__label", F.col(label).cast("string"))
-        indexer = StringIndexer(inputCol="__label", outputCol="label", stringOrderType="alphabetAsc").fit(text)
-        df = indexer.transform(text)
-    else:
-        df = df.withColumn("label", F.col(label).cast("double"))
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(df)
+    """(features vector, label double, extra...)."""
+    labelled = numeric_label(df, label)
+    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(labelled)
     return vectors.select("features", "label", *(extra or []))
 
 
@@ -103,6 +107,8 @@ def recursive_elimination(
     number of distributed fits grows with the logarithm of the number of features.
     """
     floor = max(1, min(5, len(features) // 4))
+    # numbered once, so that every slice means the same classes
+    df, label = numeric_label(df, label, "__label"), "__label"
     scores: dict[int, list[float]] = {}
     for f in range(folds):
         train, held = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
@@ -173,8 +179,6 @@ def select_features(
     if config.enable_iterative and len(left) <= 100:
         hashed = hash32(key) if key else F.xxhash64(*left) % 3 + 3
         folded = clean.withColumn("fold", (F.abs(hashed) % 3).cast("int"))
-        if problem == "classification":
-            folded = folded.withColumn("__y", F.col(target))
         picks.append(("iterative", recursive_elimination(folded, left, target, problem, step=config.elimination_step)))
     final = _combine(spark, picks, left, config) if picks else left
     if len(final) > config.max_features and scores:
