@@ -140,7 +140,7 @@ CAT.add(
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     """Fitted on priorities without '5-LOW', applied to all orders: unknown values and nulls appear."""
     o = orders_with_nulls(spark, d).select("o_orderkey", "o_orderpriority")
-    fit_rows = o.where(F.coalesce(F.col("o_orderpriority") != "5-LOW", F.lit(True)) & (F.col("o_orderkey") % 5 != 0))
+    fit_rows = o.where(F.coalesce(F.col("o_orderpriority") != "5-LOW", F.lit(True)))
     model = engine.FeatureEngine(
         engine.EngineConfig(keep=("o_orderkey",), type_hints={"o_orderpriority": "categorical"})
     ).fit(fit_rows)
@@ -148,7 +148,7 @@ def _encoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_ENC = f"""WITH {ORDERS_N}, v AS (SELECT o_orderpriority AS value, count(*) AS cnt, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code
- FROM orders_n WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 5 <> 0 GROUP BY 1), n AS (SELECT count(*) AS size FROM v),
+ FROM orders_n WHERE o_orderpriority <> '5-LOW' GROUP BY 1), n AS (SELECT count(*) AS size FROM v),
  j AS (SELECT o_orderkey, o_orderpriority, cnt, code, size FROM n, orders_n LEFT JOIN v ON o_orderpriority = value) """
 CAT.add(
     "c4_unseen_category",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import ORDERS_N, Catalog, orders_with_nulls, scratch, sql_hash, table
-from tabloom.functions.hashing import bucket
 from tabloom.operators import folds
 from tabloom.sources import readers, shaping, writers
 
@@ -73,7 +72,7 @@ CAT.add("s7_write_cv_results", _cv_results,
 CAT.add(
     "s8_preview",
     lambda spark, d: readers.preview(table(spark, d, "part"), ["p_partkey"], 10),
-    "SELECT * FROM part ORDER BY p_partkey LIMIT 10",
+    "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part ORDER BY p_partkey LIMIT 10",
 )
 
 

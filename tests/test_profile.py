@@ -72,6 +72,12 @@ def test_sequential_needs_equal_steps(spark):
     assert got == {"a": True, "b": True, "c": False, "d": False}
 
 
+def test_close_fractions_are_ids_only_in_compat(spark):
+    df = spark.createDataFrame([(i * 0.013 + (i % 7) * 0.0001,) for i in range(200)], "reading double")
+    assert types(df) == {"reading": "numerical"}
+    assert types(df, compat=True) == {"reading": "id"}
+
+
 def test_auto_distinct_gives_the_same_types(spark, sf):
     for name in ("orders", "customer", "part", "documents", "lineitem"):
         df = spark.read.parquet(f"{sf}/{name}.parquet")
