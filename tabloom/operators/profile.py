@@ -14,13 +14,15 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 SIMPLE = (*NUMERIC, T.StringType, T.BooleanType, *TEMPORAL)
 LONG_TEXT = 64
+WIDE_BATCH = 100
+DISTINCT_BATCH = 40
 
 # What counts as an id-like text, and magnitudes of numeric epochs (low, high).
-ID_TEXT = [
-    r"^[A-Za-z0-9]{8,}$",
-    r"^[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{12}$",
-    r"^[A-Z]{2,3}[0-9]{4,}",
-]
+ID_TEXT = (
+    r"^(?:[A-Za-z0-9]{8,}$"
+    r"|[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{12}$"
+    r"|[A-Z]{2,3}[0-9]{4,})"
+)
 EPOCH_RANGES = {"s": (1e8, 4.1e9), "ms": (1e11, 4.1e12), "us": (1e14, 4.1e15), "ns": (1e17, 4.1e18)}
 
 
@@ -157,10 +159,6 @@ def distinct_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     )
 
 
-def _any_of(col: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.rlike(p) for p in patterns])
-
-
 def _column_aggregates(f: T.StructField, estimate: bool) -> dict[str, Column]:
     """The aggregates that make sense for the column's type; the others stay null in the profile."""
     from tabloom.functions.temporal import parse_text
@@ -184,7 +182,7 @@ def _column_aggregates(f: T.StructField, estimate: bool) -> dict[str, Column]:
             space_share=F.avg(col.contains(" ").cast("double")),
             separator_share=F.avg((col.contains("-") | col.contains("/") | col.contains(":")).cast("double")),
             digits_share=F.avg(col.rlike("^[0-9]{7,}$").cast("double")),
-            id_text_share=F.avg(_any_of(col, ID_TEXT).cast("double")),
+            id_text_share=F.avg(col.rlike(ID_TEXT).cast("double")),
             date_share=F.avg(F.when(col.isNotNull(), parsed.isNotNull().cast("double"))),
             year_share=F.avg(F.year(parsed).between(1900, 2100).cast("double")),
             iso_date=F.max(F.when(parsed.isNotNull(), col.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"))),
@@ -209,6 +207,10 @@ EXACT_BELOW = 60
 NEAR_SHARES = [(0.044, 0.056), (0.17, 0.23), (0.7, 1.1)]
 
 
+def _batches(items: list, size: int) -> list[list]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
 def _needs_exact(distinct: int, present: int, n: int) -> bool:
     shares = [distinct / max(present, 1), distinct / max(n, 1)]
     return distinct <= EXACT_BELOW or any(low <= s <= high for s in shares for low, high in NEAR_SHARES)
@@ -220,10 +222,14 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
     ``exact_distinct="auto"`` counts values exactly only for columns whose estimate lies near a threshold of
     the type rules, which spares the shuffle of the other columns' values; ``False`` keeps all estimates.
     """
-    fields = profilable(df)
-    plans = [(i, f, _column_aggregates(f, exact_distinct is not True)) for i, f in enumerate(fields)]
-    wide = spread(df).agg(F.count("*").alias("n"), *[e.alias(f"c{i}_{k}") for i, _, plan in plans for k, e in plan.items()]).first()
-    n = wide["n"]
+    plans = [(i, f, _column_aggregates(f, exact_distinct is not True)) for i, f in enumerate(profilable(df))]
+    wide: dict = {}
+    # very wide tables go in batches of columns: each reads its own columns, and no plan grows without bound
+    for batch in _batches(plans, WIDE_BATCH):
+        source = df.select(*[F.col(f"`{f.name}`") for _, f, _ in batch])
+        aggregates = [e.alias(f"c{i}_{k}") for i, _, plan in batch for k, e in plan.items()]
+        wide.update(spread(source).agg(F.count("*").alias("n"), *aggregates).first().asDict())
+    n = wide.get("n", 0)
     rows = []
     for i, f, plan in plans:
         row = {"column": f.name, "position": i, "dtype": f.dataType.simpleString(), "kind": kind_of(f.dataType),
@@ -239,7 +245,9 @@ def profile_rows(df: DataFrame, exact_distinct: bool | str = True) -> list[dict]
         if exact_distinct is True or (exact_distinct == "auto" and _needs_exact(r["distinct"], r["present"], n))
     ]
     if exact:
-        found = {r["column"]: r["distinct"] for r in distinct_counts(df, exact).collect()}
+        found = {
+            r["column"]: r["distinct"] for batch in _batches(exact, DISTINCT_BATCH) for r in distinct_counts(df, batch).collect()
+        }
         for r in rows:
             if r["column"] in exact:
                 r["distinct"] = found.get(r["column"], 0)

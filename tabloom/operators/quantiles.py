@@ -34,11 +34,11 @@ def exact_quantiles(
         sizes = {n: counts[f"n{i}"] for i, n in enumerate(names)}
     result: dict[str, list[float] | None] = {n: None for n in names}
     small = [i for i, n in enumerate(names) if 0 < sizes[n] <= direct_rows]
-    if small:
+    for batch in _bounded(small, [sizes[n] for n in names], 4 * direct_rows):
         row = data.agg(
-            *[F.percentile(f"v{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i in small]
+            *[F.percentile(f"v{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i in batch]
         ).first()
-        for i in small:
+        for i in batch:
             result[names[i]] = list(row[f"q{i}"])
     for i, n in enumerate(names):
         if sizes[n] > direct_rows:
@@ -46,6 +46,19 @@ def exact_quantiles(
     return result
 
 
+def _bounded(columns: list[int], sizes: list[int], rows: int) -> list[list[int]]:
+    """Columns in groups whose rows together stay within the bound, since one task merges a whole group."""
+    groups: list[list[int]] = []
+    total = 0
+    for i in columns:
+        if not groups or total + sizes[i] > rows:
+            groups.append([])
+            total = 0
+        groups[-1].append(i)
+        total += sizes[i]
+    return groups
+
+
 def _ranked(data: DataFrame, col: str, n: int, prob: float, direct_rows: int) -> float:
     position = prob * (n - 1)
     low_rank, high_rank = math.floor(position), math.ceil(position)

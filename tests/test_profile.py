@@ -115,3 +115,11 @@ def test_table_catalog(spark):
     df = spark.createDataFrame([(1, 2)], "a int, order_date int")
     cat = domains.table_catalog({"t": df}).withColumn("detected_type", F.lit("datetime"))
     assert {r["domain"] for r in domains.rank_domains(cat).collect()} >= {"time_series", "ecommerce"}
+
+
+def test_wide_tables_are_profiled_in_batches(spark, monkeypatch):
+    df = spark.range(0, 50).select(*[(F.col("id") * (i + 1) + i).alias(f"c{i}") for i in range(12)])
+    whole = profile.profile_rows(df)
+    monkeypatch.setattr(profile, "WIDE_BATCH", 5)
+    monkeypatch.setattr(profile, "DISTINCT_BATCH", 5)
+    assert profile.profile_rows(df) == whole and len(whole) == 12

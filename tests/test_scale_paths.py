@@ -29,6 +29,13 @@ def test_quantiles_equal_numpy(skewed, direct_rows):
         assert got[c] == pytest.approx(np.quantile(frame[c], probs))
 
 
+def test_quantile_batches_stay_within_the_bound():
+    from tabloom.operators.quantiles import _bounded
+
+    assert _bounded([0, 1, 2, 3], [5, 5, 9, 1], 10) == [[0, 1], [2, 3]]
+    assert _bounded([], [], 10) == []
+
+
 def test_quantiles_with_one_hot_value(spark):
     data = spark.range(0, 3001).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
     got = exact_quantiles(data, {"x": F.col("x")}, [0.2, 0.5], direct_rows=20)["x"]
