@@ -128,3 +128,14 @@ def test_results_do_not_depend_on_partitions(spark, skewed, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     hot = [sizes[(0, f)] for f in range(5)]
     assert sum(hot) == 3000 and max(hot) - min(hot) <= 1
+
+
+def test_spread_only_touches_few_partition_scans(spark, sf, skewed):
+    from tabloom.session import spread
+
+    scan = spark.read.parquet(f"{sf}/orders.parquet")
+    assert spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = skewed.groupBy("k").count()
+    assert spread(grouped) is grouped
+    wide = spark.range(0, 100, 1, 64)
+    assert spread(wide) is wide
