@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import tabloom
 from tabloom.catalog.common import scratch
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver found it; once per application."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tabloom_shipped", False):
+        root = Path(tabloom.__file__).resolve().parent.parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tabloom-code-')}/tabloom", "zip", root, "tabloom"))
+        sc._tabloom_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query
-from tabloom.llm import packing, token_counts
-from tabloom.llm.common import documents
+from tabloom.llm import packing, positional_index, quality, token_counts
+from tabloom.llm.common import benchmark, documents, labels, stored
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Query] = {}
@@ -19,10 +19,66 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir), size=10, slop=1)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(documents(spark, sf_dir), BPE, end_id=2)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-for query in (op1_token_counts, op7_best_two_fit):
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stored(quality.measure(documents(spark, sf_dir)), "quality-measures")
+    judged = quality.judged(measured, quality.thresholds(measured, labels(spark, sf_dir)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+for query in (op1_token_counts, op4_positional_index, op7_best_two_fit, op8_quality_rules):
     QUERIES[query.__name__] = query
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op4_positional_index"] = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(ws[k:k + 9], ' ') AS win
+ FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, size, k, array_to_string(ws[k:k + size - 1], ' ') AS win
+ FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM w, sizes WHERE len(ws) >= size)),
+hits AS (SELECT doc_id, item_id, k, p.size AS size FROM places p JOIN windows v ON p.win = v.win AND p.size = v.size),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM (SELECT DISTINCT doc_id, k, size FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+RULE_COUNTS = list(quality.RULES.values())
+RISK = 0.04 / len(RULE_COUNTS)
+LEVELS = ", ".join(f"CASE WHEN {under} > 0 THEN least({quality.STEPS}, ({over} * {quality.STEPS} + {under} - 1) // {under}) ELSE 0 END" for over, under in RULE_COUNTS)
+SQL["op8_quality_rules"] = rf"""
+WITH w AS (SELECT doc_id, lang, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, k, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM twice) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(length(regexp_replace(coalesce(text, ''), '[^A-Z]+', '', 'g')) AS BIGINT) AS n_upper,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{LEVELS}] AS levels FROM m),
+good AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+hold AS (SELECT lang, good, unnest(range(1, {len(RULE_COUNTS) + 1})) AS rule, levels FROM f JOIN good USING (doc_id) WHERE NOT base_failed),
+bars AS (SELECT lang, rule, cut, count(*) FILTER (good) AS n_good, count(*) FILTER (good AND levels[rule] > cut) AS k, count(*) FILTER (NOT good AND levels[rule] > cut) AS bad
+  FROM hold, (SELECT unnest(range(0, {quality.STEPS})) AS cut) GROUP BY ALL),
+tried AS (SELECT *, CASE WHEN k > n_good * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({RISK}) + (n_good - i) * ln({1 - RISK})))) END AS p,
+  (SELECT count(DISTINCT coalesce(lang, '')) FROM hold) AS strata FROM bars),
+best AS (SELECT lang, rule, cut FROM tried WHERE n_good > 0 AND p <= 0.05 / (strata * {len(RULE_COUNTS) * quality.STEPS}) AND bad - 10 * k > 0
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad - 10 * k DESC, cut DESC) = 1),
+broken AS (SELECT DISTINCT f.doc_id FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang AND f.levels[best.rule] > best.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f"""
