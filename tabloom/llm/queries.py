@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query
-from tabloom.llm import packing, positional_index, quality, token_counts
+from tabloom.llm import licences, packing, positional_index, quality, token_counts
 from tabloom.llm.common import benchmark, documents, labels, stored
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir), licences.known_licences(spark))
+    return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"), (F.col("licence").isNotNull() | (F.size("notices") > 0)).alias("licensed"))
+
+
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir), size=10, slop=1)
     return found.select(
@@ -38,7 +43,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-for query in (op1_token_counts, op4_positional_index, op7_best_two_fit, op8_quality_rules):
+for query in (op1_token_counts, op3_licence_digests, op4_positional_index, op7_best_two_fit, op8_quality_rules):
     QUERIES[query.__name__] = query
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -82,3 +87,26 @@ best AS (SELECT lang, rule, cut FROM tried WHERE n_good > 0 AND p <= 0.05 / (str
   QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad - 10 * k DESC, cut DESC) = 1),
 broken AS (SELECT DISTINCT f.doc_id FROM f JOIN best ON f.lang IS NOT DISTINCT FROM best.lang AND f.levels[best.rule] > best.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM f"""
+
+
+def _canonical_sql(text: str) -> str:
+    """The same steps in DuckDB's functions, where a group in a replacement is written with a backslash."""
+    quoted = licences.TO_SIGNS.replace("'", "''")
+    out = f"translate({text}, '{licences.FROM_SIGNS}', '{quoted}')"
+    out = rf"regexp_replace({out}, '(?m)^[^a-z0-9\n]*(copyright( \(c\)|\s*©)?|\(c\)|©)[^\n]*[0-9]{{4}}[^\n]*$', ' ', 'g')"
+    out = rf"regexp_replace({out}, '\ball rights reserved\b', ' ', 'g')"
+    out = rf"regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')"
+    for pattern, replacement in licences.SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+    return f"trim({out})"
+
+
+SQL["op3_licence_digests"] = f"""
+WITH known(licence, t) AS (VALUES {", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in licences.KNOWN)}),
+table_k AS (SELECT DISTINCT licence, sha256({_canonical_sql("t")}) AS digest FROM known),
+whole AS (SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM documents),
+notice AS (SELECT DISTINCT doc_id, licence FROM (SELECT doc_id, sha256({_canonical_sql("part")}) AS digest FROM lines WHERE part <> '') JOIN table_k USING (digest)),
+names AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS notices FROM notice GROUP BY doc_id)
+SELECT whole.doc_id, digest, licence, coalesce(notices, '') AS notices, licence IS NOT NULL OR notices IS NOT NULL AS licensed
+FROM whole LEFT JOIN table_k USING (digest) LEFT JOIN names ON whole.doc_id = names.doc_id"""
