@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query
-from tabloom.llm import licences, packing, positional_index, quality, token_counts
+from tabloom.llm import licences, packing, positional_index, quality, shingle_join, token_counts
 from tabloom.llm.common import benchmark, documents, labels, stored
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(documents(spark, sf_dir), licences.known_licences(spark))
     return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"), (F.col("licence").isNotNull() | (F.size("notices") > 0)).alias("licensed"))
@@ -43,7 +47,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-for query in (op1_token_counts, op3_licence_digests, op4_positional_index, op7_best_two_fit, op8_quality_rules):
+for query in (op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op7_best_two_fit, op8_quality_rules):
     QUERIES[query.__name__] = query
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
