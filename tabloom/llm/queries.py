@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query
-from tabloom.llm import licences, packing, positional_index, quality, shingle_join, token_counts
+from tabloom.llm import chaining, licences, packing, positional_index, quality, shingle_join, token_counts
 from tabloom.llm.common import benchmark, documents, labels, stored
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,14 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chaining.repeats(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("first_id").alias("first_doc_id"),
+        F.col("first_start").alias("first_start_word"), (F.col("first_end") - F.col("first_start")).alias("first_n_words"), "matches",
+    )
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(documents(spark, sf_dir), BPE, end_id=2)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -47,7 +55,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-for query in (op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op7_best_two_fit, op8_quality_rules):
+for query in (op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op6_collinear_chains, op7_best_two_fit, op8_quality_rules):
     QUERIES[query.__name__] = query
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
