@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import row_key, stored, text_chunks, texts_of
+from tabloom.llm.common import distinct_texts, row_key, stored, text_chunks, texts_of
 from tabloom.llm.words import Words, minimizers, window_hashes
 
 MIN_WORDS = 50
@@ -213,7 +213,7 @@ def passages(columns: np.ndarray, min_words: int, identity: float) -> list[tuple
 
 def slices(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
     """(num, lo, hi, words) for the distinct requests (num, lo, hi): 32-bit fingerprints of the words from lo to hi."""
-    requests = wanted.distinct().join(table.select("num", "key"), "num")
+    requests = stored(wanted.distinct().join(table.select("num", "key"), "num"), "requests")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = None, None
@@ -225,9 +225,9 @@ def slices(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
                 out.append(words[lo:hi].tobytes())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("num", "lo", "hi")], pa.array(out, pa.binary())], names=["num", "lo", "hi", "words"])
 
-    texts = docs.withColumn("key", row_key()).select("key", "text")
+    texts = distinct_texts(docs.withColumn("key", row_key()), requests.select("key"))
     joined = requests.join(texts, "key").select("num", "lo", "hi", "key", "text")
-    return joined.mapInArrow(cut, "num bigint, lo bigint, hi bigint, words binary").dropDuplicates(["num", "lo", "hi"])
+    return joined.mapInArrow(cut, "num bigint, lo bigint, hi bigint, words binary")
 
 
 def repeats(docs: DataFrame, k: int = 5, window: int = 10, gap_cost: float = 0.1, max_gap: int = 60, min_words: int = MIN_WORDS, identity: float = 0.8, pad: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

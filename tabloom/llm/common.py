@@ -53,6 +53,24 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only the first of the rows with one key (`doc_id`) in this partition: hot copies shrink to one row per partition."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for i, key in enumerate(batch.column("doc_id").to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def distinct_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row (key, text) for each of `keys`; `texts` may have a key on any number of rows."""
+    once = texts.select(F.col("key").alias("doc_id"), "text").mapInArrow(first_of_partition, "doc_id binary, text string").withColumnRenamed("doc_id", "key")
+    return once.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list[int | None], list[str | None]]]:
     """Ids and texts of (doc_id, text) batches in lists of at most `limit` characters, or of one longer text."""
     ids: list = []

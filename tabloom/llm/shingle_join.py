@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabloom.llm.common import stored, text_chunks, texts_of
+from tabloom.llm.common import distinct_texts, first_of_partition, stored, text_chunks, texts_of
 from tabloom.llm.components import connected
 from tabloom.llm.words import Words, window_hashes
 
@@ -59,7 +59,7 @@ def signatures(texts: DataFrame, trees: int, depth: int, size: int) -> DataFrame
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(trees * depth)
-        for keys, values in text_chunks(_first_of_partition(batches), 1 << 19):
+        for keys, values in text_chunks(first_of_partition(batches), 1 << 19):
             flat, bounds = shingles(Words(values), size)
             out = np.zeros((len(values), trees * depth), dtype=">u4")
             with np.errstate(over="ignore"):
@@ -70,18 +70,6 @@ def signatures(texts: DataFrame, trees: int, depth: int, size: int) -> DataFrame
     return texts.select(F.col("key").alias("doc_id"), "text").filter("doc_id IS NOT NULL").mapInArrow(sign, "key binary, signature binary")
 
 
-def _first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only the first of the rows with one key (`doc_id`) in this partition: hot copies shrink to one row per partition."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for i, key in enumerate(batch.column("doc_id").to_pylist()):
-            if key not in seen:
-                seen.add(key)
-                keep.append(i)
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
 def shortest_prefix(similarity: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix, from the full depth down, with which two texts of this similarity meet in some tree with the recall."""
     length = depth
@@ -152,8 +140,7 @@ def trie_pairs(signed: DataFrame, trees: int, depth: int, shortest: int) -> Data
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """(a, b, similarity) of the pairs whose exact Jaccard similarity is at least `similarity`."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    once = texts.filter("key IS NOT NULL").select(F.col("key").alias("doc_id"), "text").mapInArrow(_first_of_partition, "doc_id binary, text string").withColumnRenamed("doc_id", "key")
-    wanted = stored(once.join(keys, "key", "left_semi").dropDuplicates(["key"]), "pair-texts", compression="zstd")
+    wanted = stored(distinct_texts(texts.filter("key IS NOT NULL"), keys), "pair-texts", compression="zstd")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
