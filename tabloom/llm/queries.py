@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.catalog.common import Query
-from tabloom.llm import chaining, licences, packing, positional_index, quality, shingle_join, sparse_suffix, token_counts
+from tabloom.catalog.common import Query, scratch
+from tabloom.llm import chaining, licences, packing, positional_index, quality, shingle_join, sparse_suffix, token_counts, token_files
 from tabloom.llm.common import benchmark, documents, labels, stored
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,12 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), folder, BPE, end_id=0)
+    return token_files.document_digests(spark, folder)
+
+
 def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chaining.repeats(documents(spark, sf_dir))
     return found.select(
@@ -60,7 +66,7 @@ def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other_id").alias("other_doc_id"), F.col("other_start").alias("other_start_word"))
 
 
-for query in (op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op6_collinear_chains, op7_best_two_fit, op8_quality_rules, op10_sparse_suffixes):
+for query in (op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op5_mixing_coder, op6_collinear_chains, op7_best_two_fit, op8_quality_rules, op10_sparse_suffixes):
     QUERIES[query.__name__] = query
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
