@@ -68,7 +68,7 @@ def first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def distinct_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """One row (key, text) for each of `keys`; `texts` may have a key on any number of rows."""
     once = texts.select(F.col("key").alias("doc_id"), "text").mapInArrow(first_of_partition, "doc_id binary, text string").withColumnRenamed("doc_id", "key")
-    return once.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return once.join(keys.distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])  # the same plan at every size
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list[int | None], list[str | None]]]:
