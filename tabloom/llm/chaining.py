@@ -230,7 +230,7 @@ def slices(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "num bigint, lo bigint, hi bigint, words binary")
 
 
-def repeats(docs: DataFrame, k: int = 5, window: int = 10, gap_cost: float = 0.1, max_gap: int = 60, min_words: int = MIN_WORDS, identity: float = 0.8, pad: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, k: int = 8, window: int = 10, gap_cost: float = 0.1, max_gap: int = 60, min_words: int = MIN_WORDS, identity: float = 0.8, pad: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, doc_id, start, end, first_key, first_id, first_start, first_end, matches): fuzzy passages that occurred before."""
     docs = texts_of(docs, id_col, text_col)
     table = seeds(docs, k, window)
