@@ -126,12 +126,14 @@ def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and COUNTS of every row."""
+    """doc_id, stratum and COUNTS of every row, as a stored table: filters on counts must not be pushed into the measuring
+    expressions, which would then be computed once for each use."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{stratum_col}`").alias("stratum"))
-    return features(rows).drop("text")
+    return stored(features(rows).drop("text"), "quality-measures")
 
 
 def judged_rows(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
-    """The whole rows of `docs` as a struct `row`, with stratum, COUNTS and verdict."""
-    measured = features(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.col("lang").alias("stratum"))).drop("text")
-    return judged(measured, thresholds(measure(docs), labels, **settings))
+    """The whole rows of `docs` as a struct `row`, with doc_id, stratum, COUNTS and verdict."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.col("lang").alias("stratum"))
+    measured = stored(features(rows).drop("text"), "quality-rows", compression="zstd")
+    return judged(measured, thresholds(measured.drop("row"), labels, **settings))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query, scratch
 from tabloom.llm import chaining, licences, packing, positional_index, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files
-from tabloom.llm.common import benchmark, documents, labels, stored
+from tabloom.llm.common import benchmark, documents, labels
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Query] = {}
@@ -56,7 +56,7 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = stored(quality.measure(documents(spark, sf_dir)), "quality-measures")
+    measured = quality.measure(documents(spark, sf_dir))
     judged = quality.judged(measured, quality.thresholds(measured, labels(spark, sf_dir)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -169,18 +169,33 @@ def links(docs: DataFrame, similarity: float = 0.8, size: int = 5, trees: int =
     return stored(verified(pairs, texts, similarity, size), "links")
 
 
-def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
-    """One row per document: doc_id, key, class_id, n_links (links of its text to different texts), n_copies (other rows
-    with its text), chosen (its text is the one that stands for the class)."""
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
+    """A stored row per different text: key, class_id, n_links (links to other texts), n_copies (its rows but one), chosen
+    (it stands for the class: it has the class's least id)."""
     rows = texts_of(docs, id_col, text_col).select("doc_id", text_key().alias("key"))
     found = links(docs, id_col=id_col, text_col=text_col, **settings)
     degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     texts = stored(
         rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
         .join(connected(found).withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-        .select("key", "least", "n_rows", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
+        .select("key", "least", "n_rows", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-roots")
     heads = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "key")).alias("head"))
-    classes = texts.join(heads, "root").select("key", "n_links", (F.col("n_rows") - 1).alias("n_copies"), F.col("head.least").alias("class_id"), (F.col("head.key") == F.col("key")).alias("chosen"))
-    return rows.join(classes, "key", "left").select(
-        "doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
+    return stored(texts.join(heads, "root").select("key", "n_links", (F.col("n_rows") - 1).alias("n_copies"), F.col("head.least").alias("class_id"), (F.col("head.key") == F.col("key")).alias("chosen")), "text-classes")
+
+
+def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links (links of its text to different texts), n_copies (other rows with its text)."""
+    rows = texts_of(docs, id_col, text_col).select("doc_id", text_key().alias("key"))
+    return rows.join(text_classes(docs, id_col, text_col, **settings), "key", "left").select(
+        "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+
+
+def one_of_each(docs: DataFrame, **settings: float) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any other columns) that stand for their class: one row per class, and every row
+    without words."""
+    classes = text_classes(docs, **settings).select(*[F.col(c).alias(f"_{c}") for c in ("key", "class_id", "n_copies", "chosen")])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").select("row", "doc_id", text_key().alias("_own"))
+    kept = rows.join(classes, rows["_own"] == classes["_key"], "left").filter("_own IS NULL OR (_chosen AND doc_id <=> _class_id)")
+    alone, several = kept.filter("_own IS NULL OR _n_copies = 0"), kept.filter("_n_copies > 0")  # of copies only those with the class's id are left
+    return alone.select("row.*").unionByName(several.dropDuplicates(["doc_id", "_own"]).select("row.*"))
