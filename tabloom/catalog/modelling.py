@@ -86,9 +86,7 @@ CAT.add("m5_gradient_boosting_multiclass", _multiclass_boosting)
 def _search(spark: SparkSession, d: str) -> DataFrame:
     frame = training.training_frame(_price(spark, d))
     try:
-        rows = frame.count()
-        sample = training.hash_sample(frame, "key", training.search_budget(rows).sample_share)
-        return _scores(spark, [training.search(sample, training.RIDGE, "regression", 4, 3)])
+        return _scores(spark, [training.search(frame, training.RIDGE, "regression", 10)])
     finally:
         frame.unpersist()
 
@@ -102,7 +100,7 @@ def _stack(spark: SparkSession, d: str) -> DataFrame:
         members = [
             training.CvResult(training.LINEAR, []), training.CvResult(training.FOREST, [], {"n_estimators": 5, "max_depth": 4}),
         ]
-        model = training.fit_stack(frame, members, "regression", list(range(5)))
+        model = training.fit_stack(frame, members, "regression")
         return model.transform(frame).groupBy("fold").agg(training.metric("regression").alias("score"), F.count("*").alias("n"))
     finally:
         frame.unpersist()
@@ -116,7 +114,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     try:
         params = {training.FOREST: {"n_estimators": 5, "max_depth": 4}, training.RIDGE: {"alpha": 0.1}}
         results = training.run_candidates(
-            frame, [training.LINEAR, training.RIDGE, training.FOREST, "Unknown Model"], "regression", 3, params=params
+            frame, [training.LINEAR, training.RIDGE, training.FOREST, "Unknown Model"], "regression", params=params
         )
         return training.leaderboard(spark, "r1", results).drop("params")
     finally:
@@ -166,9 +164,10 @@ CAT.add("r1_score", _score)
 
 
 def _as_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table's file as a stream of one-file batches."""
+    """A table's files, one file or a folder of part files, as a stream of one-file batches. The pattern stands for the
+    one name, which makes Spark list what it finds there."""
     schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parque[t]")
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -201,24 +200,25 @@ CAT.add(
 CAT.add(
     "u3_stream_dedup",
     lambda spark, d: _run(
-        spark, streams.stream_dedup(_as_stream(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days")
-        .select("user_id", "event_type"), "dedup",
+        spark, streams.stream_distinct(_as_stream(spark, d, "events"), ["user_id", "event_type"]), "dedup",
     ),
     "SELECT DISTINCT user_id, event_type FROM events",
 )
 
 
 def _stream_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Windows closed by the watermark: the last day stays open, as it must in append mode."""
-    shown = streams.stream_profile(_as_stream(spark, d, "events").select("ts", "value"), "ts", "value", "1 day", delay="0 seconds")
-    out = _run(spark, shown, "profile")
+    """All windows, the open one too: each batch replaces the table of windows."""
+    shown = streams.stream_profile(_as_stream(spark, d, "events").select("ts", "value"), "ts", "value", "1 day", delay="1 hour")
+    path = scratch(spark, "profile")
+    streams.replace_table(shown, path, f"{path}-checkpoint").awaitTermination()
+    out = streams.read_table(spark, path, shown.schema)
     return out.select(
-        F.unix_seconds("window_start").alias("day"), "n", "nulls", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max"
+        F.unix_seconds("window_start").alias("day"), "n", "nulls", F.round("mean", 10).alias("mean"), F.round("std", 6).alias("std"), "min", "max"
     )
 
 
 CAT.add(
     "u4_stream_profile", _stream_profile,
-    """SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS n, count(*) - count(value) AS nulls, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
- min(value) AS min, max(value) AS max FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1""",
+    """SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS n, count(*) - count(value) AS nulls, round(avg(value), 10) AS mean, round(stddev_pop(value), 6) AS std,
+ min(value) AS min, max(value) AS max FROM events GROUP BY 1""",
 )

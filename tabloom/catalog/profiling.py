@@ -91,7 +91,7 @@ def _sql_facts() -> str:
  avg(length({txt})) AS mean_len, avg(len(regexp_extract_all({txt}, '[^ \\t\\n\\r]+'))) AS mean_words,
  avg(CAST(contains({txt}, ' ') AS INTEGER)) AS space_share,
  avg(CAST(regexp_matches({txt}, '[-/:]') AS INTEGER)) AS sep_share, avg(CAST(regexp_matches({txt}, '^[0-9]{{7,}}$') AS INTEGER)) AS dig_share,
- avg(CAST(regexp_matches({txt}, '^[A-Za-z0-9]{{8,}}$|^[A-Z]{{2,3}}[0-9]{{4,}}') AS INTEGER)) AS idt_share,
+ avg(CAST(regexp_matches({txt}, '^[A-Za-z0-9]{{8,}}$|^[A-Z]{{2,3}}[0-9]{{4,}}$') AS INTEGER)) AS idt_share,
  avg(CASE WHEN {txt} IS NOT NULL THEN CAST(try_strptime({txt}, '%Y-%m-%d') IS NOT NULL AS INTEGER) END) AS date_share FROM w""")
     return "facts AS (" + "\nUNION ALL ".join(parts) + ")"
 

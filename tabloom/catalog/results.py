@@ -178,7 +178,7 @@ def _budgets(spark: SparkSession, d: str) -> DataFrame:
 CAT.add(
     "m10_search_budget", _budgets,
     "\nUNION ALL ".join(
-        f"""SELECT '{t}' AS "table", count(*) AS n, CAST(CASE WHEN count(*) <= 2000 THEN 25 WHEN count(*) <= 5000 THEN 40 WHEN count(*) > 1000000 THEN 20 ELSE 100 END AS BIGINT) AS trials,
+        f"""SELECT '{t}' AS "table", count(*) AS n, CAST(CASE WHEN count(*) <= 2000 THEN 25 WHEN count(*) <= 5000 THEN 40 ELSE 100 END AS BIGINT) AS trials,
  CAST(CASE WHEN count(*) <= 2000 THEN 240 WHEN count(*) <= 5000 THEN 360 ELSE 600 END AS BIGINT) AS seconds FROM {t}"""
         for t in ("documents", "events", "orders", "lineitem")
     ),

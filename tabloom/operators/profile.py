@@ -21,7 +21,7 @@ DISTINCT_BATCH = 40
 ID_TEXT = (
     r"^(?:[A-Za-z0-9]{8,}$"
     r"|[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{12}$"
-    r"|[A-Z]{2,3}[0-9]{4,})"
+    r"|[A-Z]{2,3}[0-9]{4,}$)"
 )
 EPOCH_RANGES = {"s": (1e8, 4.1e9), "ms": (1e11, 4.1e12), "us": (1e14, 4.1e15), "ns": (1e17, 4.1e18)}
 

@@ -63,11 +63,31 @@ def variance_filter(df: DataFrame, features: list[str], threshold: float = 0.01)
     return variances(df, features).where(F.col("variance") > threshold).select("feature", "position", "variance")
 
 
+PAIR_BATCH = 60
+
+
 def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
-    """Pearson matrix from one pass over the rows; k x k for k features on the driver. NaN where a feature is constant."""
-    values = df.select(*[F.coalesce(to_numeric(F.col(f"`{f}`")), F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)])
-    vectors = VectorAssembler(inputCols=values.columns, outputCol="v").transform(values).select("v")
-    return Correlation.corr(vectors, "v").head()[0].toArray()
+    """Pearson matrix, k x k for k features on the driver; a pair counts the rows in which both values are there. NaN where
+    a feature is constant. Without nulls one pass over the rows, else an aggregate per PAIR_BATCH pairs."""
+    values = df.select(*[to_numeric(F.col(f"`{f}`")).alias(f"f{i}") for i, f in enumerate(features)])
+    present = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in values.columns]).first()
+    if all(present[c] == present["rows"] for c in values.columns):
+        vectors = VectorAssembler(inputCols=values.columns, outputCol="v").transform(values).select("v")
+        return Correlation.corr(vectors, "v").head()[0].toArray()
+    matrix = np.eye(len(features))
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    for at in range(0, len(pairs), PAIR_BATCH):
+        row = values.agg(*[_pair_correlation(f"f{i}", f"f{j}").alias(f"r{i}_{j}") for i, j in pairs[at : at + PAIR_BATCH]]).first()
+        for i, j in pairs[at : at + PAIR_BATCH]:
+            matrix[i, j] = matrix[j, i] = np.nan if row[f"r{i}_{j}"] is None else row[f"r{i}_{j}"]
+    return matrix
+
+
+def _pair_correlation(a: str, b: str) -> Column:
+    """Over the rows in which neither is null; null where one is constant there."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def correlated_columns(matrix: np.ndarray, features: list[str], threshold: float = 0.95) -> list[str]:

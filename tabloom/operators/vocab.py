@@ -34,8 +34,9 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return column_values(df, columns)
 
 
-def top_categories(counts: DataFrame, max_categories: int) -> DataFrame:
-    """Columns above the limit keep their most frequent values; the rest is summed as OTHER."""
+def _top_and_rest(counts: DataFrame, max_categories: int) -> DataFrame:
+    """The most frequent values of columns above the limit; the others are summed in a row whose value is null, so that
+    the row can never meet a value of the data."""
     sizes = counts.groupBy("column").agg(F.count("*").alias("size"), F.sum("cnt").alias("total"))
     most = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("value"))
     # a rank limit lets each task drop all but its own best rows before the shuffle
@@ -43,10 +44,17 @@ def top_categories(counts: DataFrame, max_categories: int) -> DataFrame:
     joined = best.join(F.broadcast(sizes), "column")
     kept = joined.where((F.col("size") <= max_categories) | (F.col("rank") < max_categories))
     rest = kept.groupBy("column").agg(F.max("size").alias("size"), (F.max("total") - F.sum("cnt")).alias("cnt"))
-    other = rest.where(F.col("size") > max_categories).select("column", F.lit(OTHER).alias("value"), "cnt")
+    other = rest.where(F.col("size") > max_categories).select("column", F.lit(None).cast("string").alias("value"), "cnt")
     return kept.select("column", "value", "cnt").unionByName(other)
 
 
+def top_categories(counts: DataFrame, max_categories: int) -> DataFrame:
+    """Columns above the limit keep their most frequent values; the rest is summed as OTHER, together with a real value of
+    that name: one row per column and value."""
+    named = _top_and_rest(counts, max_categories).withColumn("value", F.coalesce("value", F.lit(OTHER)))
+    return named.groupBy("column", "value").agg(F.sum("cnt").alias("cnt"))
+
+
 def label_codes(counts: DataFrame, bound: int = GROUP_ROWS, chunks: int | None = None) -> DataFrame:
     """Counts plus ``code``: position of the value in sorted order within its column, from 0."""
     numbered = row_number(counts, ["column"], ["value"], "code", bound, chunks)
@@ -59,20 +67,21 @@ VOCAB_SCHEMA = "column string, value string, cnt bigint, code bigint, kept boole
 def fit_vocabulary(df: DataFrame, columns: list[str], config: CategoricalConfig = CategoricalConfig()) -> DataFrame:
     """(column, value, cnt, code, kept) for the given columns, from one count of values.
 
-    With ``limit_codes`` values outside the top share the OTHER row: the vocabulary is bounded by
+    With ``limit_codes`` values outside the top share one row, whose value is null: the vocabulary is bounded by
     ``max_categories`` rows per column and becomes a local table. Without it every value has a code,
     ``kept`` marks the top ones, and the table stays distributed, written to the checkpoint folder.
     """
     if config.limit_codes:
-        top = top_categories(value_counts(df, columns), config.max_categories).collect()
+        top = _top_and_rest(value_counts(df, columns), config.max_categories).collect()
         place: dict[str, int] = {}
         rows = []
-        for column, value, cnt in sorted((r["column"], r["value"], r["cnt"]) for r in top):
+        # the rest row has its code at the place of its name, after a real value of that name
+        for column, value, cnt in sorted(((r["column"], r["value"], r["cnt"]) for r in top), key=lambda r: (r[0], r[1] or OTHER, r[1] is None)):
             rows.append((column, value, cnt, place.get(column, 0), True))
             place[column] = place.get(column, 0) + 1
         return df.sparkSession.createDataFrame(rows, VOCAB_SCHEMA)
     counts = cut_lineage(value_counts(df, columns))
-    top = top_categories(counts, config.max_categories).where(F.col("value") != OTHER).select("column", "value")
+    top = _top_and_rest(counts, config.max_categories).where("value IS NOT NULL").select("column", "value")
     coded = label_codes(counts).join(F.broadcast(top.withColumn("kept", F.lit(True))), ["column", "value"], "left")
     return cut_lineage(coded.withColumn("kept", F.coalesce("kept", F.lit(False))))
 
@@ -80,7 +89,7 @@ def fit_vocabulary(df: DataFrame, columns: list[str], config: CategoricalConfig
 def vocabulary_size(vocab: DataFrame) -> dict[str, tuple[int, int]]:
     """Rows and approximate bytes per column, one small aggregate."""
     rows = vocab.groupBy("column").agg(
-        F.count("*").alias("rows"), F.sum(F.octet_length("value") + F.lit(40)).alias("bytes")
+        F.count("*").alias("rows"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + F.lit(40)).alias("bytes")
     ).collect()
     return {r["column"]: (r["rows"], r["bytes"]) for r in rows}
 

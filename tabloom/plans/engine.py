@@ -59,6 +59,8 @@ class CategoryParams:
     other_code: int | None
     has_null: bool
     categories: tuple[str, ...] = ()
+    rest_mean: float | None = None  # target mean of the values outside the vocabulary, of all rows where there are none
+    null_mean: float | None = None  # target mean of the rows without a value, of all rows where there are none
 
 
 def coerce_fill_zero(col: Column) -> Column:
@@ -164,21 +166,23 @@ class FeatureEngine(Estimator):
             return {}, None
         cfg = self.config.categorical
         vocab = vocabulary.fit_vocabulary(df, columns, cfg)
+        fallback: dict[str, tuple[float | None, float | None]] = {}
         if cfg.encoding_method == "target" and self.target:
             vocab = cut_lineage(self._with_target_means(df, vocab, columns))
+            fallback = self._fallback_means(df, vocab, columns)
         sizes = vocabulary.vocabulary_size(vocab)
         others = {
             r["column"]: r["code"]
-            for r in vocab.where(F.col("value") == vocabulary.OTHER).select("column", "code").collect()
+            for r in vocab.where("value IS NULL").select("column", "code").collect()
         } if cfg.limit_codes else {}
         listed: dict[str, tuple[str, ...]] = {}
         if cfg.encoding_method == "onehot":
             # at most max_categories rows per column by construction
-            tops = vocabulary.top_categories(vocab.select("column", "value", "cnt"), cfg.max_categories)
+            tops = vocabulary.top_categories(vocab.select("column", F.coalesce("value", F.lit(vocabulary.OTHER)).alias("value"), "cnt").groupBy("column", "value").agg(F.sum("cnt").alias("cnt")), cfg.max_categories)
             for r in tops.orderBy("column", "value").collect():
                 listed[r["column"]] = listed.get(r["column"], ()) + (r["value"],)
         params = {
-            c: CategoryParams(c, *sizes.get(c, (0, 0)), others.get(c), rows[c]["nulls"] > 0, listed.get(c, ())) for c in columns
+            c: CategoryParams(c, *sizes.get(c, (0, 0)), others.get(c), rows[c]["nulls"] > 0, listed.get(c, ()), *fallback.get(c, (None, None))) for c in columns
         }
         return params, vocab
 
@@ -186,10 +190,25 @@ class FeatureEngine(Estimator):
         y = F.col(self.target).cast("double")
         entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
         means = (
-            df.select(F.explode(entries).alias("e"), y.alias("y")).groupBy("e.column", "e.value").agg(F.avg("y").alias("target_mean"))
+            df.select(F.explode(entries).alias("e"), y.alias("y")).groupBy("e.column", "e.value").agg(F.avg("y").alias("target_mean"), F.count("y").alias("target_n"))
         )
         return vocab.join(means, ["column", "value"], "left")
 
+    def _fallback_means(self, df: DataFrame, vocab: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
+        """Per column the target means of the values outside the vocabulary and of the nulls; one pass and a sum over the vocabulary."""
+        y = F.col(self.target).cast("double")
+        sums = df.agg(
+            F.avg(y).alias("mean"),
+            *[e for i, c in enumerate(columns) for e in (
+                F.sum(F.when(F.col(c).isNotNull(), y)).alias(f"s{i}"), F.count(F.when(F.col(c).isNotNull(), y)).alias(f"n{i}"), F.avg(F.when(F.col(c).isNull(), y)).alias(f"z{i}"))],
+        ).first()
+        inside = {r["column"]: (r["s"] or 0.0, r["n"] or 0) for r in vocab.groupBy("column").agg(F.sum(F.col("target_mean") * F.col("target_n")).alias("s"), F.sum("target_n").alias("n")).collect()}
+        out = {}
+        for i, c in enumerate(columns):
+            s, n = (sums[f"s{i}"] or 0.0) - inside.get(c, (0.0, 0))[0], sums[f"n{i}"] - inside.get(c, (0.0, 0))[1]
+            out[c] = (s / n if n else sums["mean"], sums["mean"] if sums[f"z{i}"] is None else sums[f"z{i}"])
+        return out
+
     def _fit_terms(self, df: DataFrame, columns: list[str]) -> dict[str, list[tuple[str, float]]]:
         if not self.config.text.enable_tfidf:
             return {}
@@ -275,7 +294,7 @@ class FeatureModel(Model):
         if cfg.encoding_method == "onehot":
             out.update(vocabulary.one_hot(raw.cast("string"), list(p.categories), c))
         if cfg.encoding_method == "target" and self.target:
-            out[f"{c}_target"] = F.col(f"__v_{c}_target_mean")
+            out[f"{c}_target"] = F.when(raw.isNull(), F.lit(p.null_mean)).otherwise(F.coalesce(F.col(f"__v_{c}_target_mean"), F.lit(p.rest_mean)))
         if p.has_null:
             out[f"{c}_was_missing"] = raw.isNull().cast("int")
         return out

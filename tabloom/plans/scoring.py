@@ -55,9 +55,11 @@ class Scorer:
 
 
 def register_run(spark: SparkSession, path: str, run_id: str, model: str) -> None:
-    """Append to the table of runs; the newest is found by run id, not by file times."""
-    spark.createDataFrame([(run_id, model)], "run_id string, model string").coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    """Append to the table of runs, with the time of registration."""
+    row = spark.createDataFrame([(run_id, model)], "run_id string, model string").withColumn("registered", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{path}/runs")
 
 
 def latest_run(spark: SparkSession, path: str) -> str | None:
-    return spark.read.parquet(f"{path}/runs").agg(F.max("run_id")).first()[0]
+    """The run registered last; of equal times the greater id."""
+    return spark.read.parquet(f"{path}/runs").agg(F.max_by("run_id", F.struct("registered", "run_id"))).first()[0]

@@ -20,7 +20,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-from tabloom.functions.hashing import HASH_SPACE, hash32
 from tabloom.session import cut_lineage, spread
 
 LINEAR, RIDGE, LOGISTIC, FOREST, BOOSTING = (
@@ -66,8 +65,13 @@ SEARCH_SPACES = {
 BASE_TRIALS, BASE_SECONDS = 100, 600
 SMALL_BUDGETS = [(2_000, 25, 240), (5_000, 40, 360)]
 SMALL_BOOSTING = {25: (15, 180), 40: (20, 240)}
-LARGE_ROWS = 1_000_000
-SEARCH_SAMPLE_ROWS = 200_000
+MAX_FOLDS, MAX_DEPTH = 1000, 30
+
+
+def tree_depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth}: trees have at most {MAX_DEPTH} levels")
+    return depth
 
 
 def build_model(
@@ -90,12 +94,12 @@ def build_model(
         subset = {"sqrt": "sqrt", "log2": "log2", "all": "all"}.get(p.get("max_features", "auto"), "auto")
         make = RandomForestRegressor if problem == "regression" else RandomForestClassifier
         return make(
-            numTrees=p.get("n_estimators", 100), maxDepth=min(p.get("max_depth", 10), 30), seed=seed,
+            numTrees=p.get("n_estimators", 100), maxDepth=tree_depth(p.get("max_depth", 10)), seed=seed,
             minInstancesPerNode=p.get("min_samples_leaf", 1), featureSubsetStrategy=subset,
         )
     if name == BOOSTING:
         shared = dict(
-            maxIter=p.get("n_estimators", 20), stepSize=p.get("learning_rate", 0.1), maxDepth=min(p.get("max_depth", 5), 30),
+            maxIter=p.get("n_estimators", 20), stepSize=p.get("learning_rate", 0.1), maxDepth=tree_depth(p.get("max_depth", 5)),
             subsamplingRate=p.get("subsample", 1.0), seed=seed,
         )
         if problem == "regression":
@@ -166,18 +170,14 @@ class Budget:
     seconds: int
     boosting_trials: int
     boosting_seconds: int
-    sample_share: float
 
 
 def search_budget(rows: int) -> Budget:
-    """Trials, seconds and row share of a search. Large tables get fewer trials, on a sample of rows."""
+    """Trials and seconds of a search: small tables get fewer trials. A search always reads all rows."""
     for limit, trials, seconds in SMALL_BUDGETS:
         if 0 < rows <= limit:
-            return Budget(trials, seconds, *SMALL_BOOSTING[trials], 1.0)
-    share = min(1.0, SEARCH_SAMPLE_ROWS / rows) if rows else 1.0
-    if rows > LARGE_ROWS:
-        return Budget(20, BASE_SECONDS, 10, BASE_SECONDS, share)
-    return Budget(BASE_TRIALS, BASE_SECONDS, BASE_TRIALS, BASE_SECONDS, share)
+            return Budget(trials, seconds, *SMALL_BOOSTING[trials])
+    return Budget(BASE_TRIALS, BASE_SECONDS, BASE_TRIALS, BASE_SECONDS)
 
 
 def metric(problem: str) -> Column:
@@ -208,10 +208,20 @@ class CvResult:
         return math.sqrt(sum((s - self.mean) ** 2 for s in self.scores) / len(self.scores)) if self.scores else float("nan")
 
 
-def cross_validate(data: DataFrame, name: str, problem: str, folds: int = 5, params: dict | None = None, classes: int = 2) -> CvResult:
-    """Score per fold on assembled data (features, label, fold)."""
+def fold_values(data: DataFrame, folds: int | None = None) -> list[int]:
+    """The folds that the data has, so that every row is in one of them; an expected number that differs is an error."""
+    found = sorted(r["fold"] for r in data.select("fold").where("fold IS NOT NULL").distinct().limit(MAX_FOLDS + 1).collect())
+    if len(found) < 2 or len(found) > MAX_FOLDS or data.where("fold IS NULL").limit(1).count():
+        raise ValueError(f"every row needs one of 2 to {MAX_FOLDS} folds")
+    if folds is not None and folds != len(found):
+        raise ValueError(f"{folds} folds expected, the data has {len(found)}")
+    return found
+
+
+def cross_validate(data: DataFrame, name: str, problem: str, folds: int | None = None, params: dict | None = None, classes: int = 2) -> CvResult:
+    """Score per fold on assembled data (features, label, fold); all folds of the data."""
     scores = []
-    for f in range(folds):
+    for f in fold_values(data, folds):
         model = fit_model(data.where(F.col("fold") != f), name, problem, params, classes)
         value = model.transform(data.where(F.col("fold") == f)).agg(metric(problem)).first()[0]
         if value is not None:
@@ -239,33 +249,30 @@ def draw_params(name: str, trials: int, seed: int = 42) -> list[dict]:
     return drawn
 
 
-def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
-    """A share of the rows by key hash, for the search only; final scores use all rows."""
-    return df if share >= 1.0 else df.where(hash32(key) < F.lit(int(share * HASH_SPACE)))
-
-
 def search(
-    data: DataFrame, name: str, problem: str, trials: int, folds: int = 5, seed: int = 42,
+    data: DataFrame, name: str, problem: str, trials: int, folds: int | None = None, seed: int = 42,
     classes: int = 2, workers: int = 2, on_trial: Callable[[str, int, float], None] | None = None,
 ) -> CvResult:
-    """Random search; trials run as concurrent Spark jobs. Failed trials are left out."""
+    """Random search; trials run as concurrent Spark jobs. Failed trials are counted in the result's status with the last
+    reason; if all fail, the default parameters are scored and the status says so."""
     drawn = draw_params(name, trials, seed)
 
-    def run(item: tuple[int, dict]) -> CvResult | None:
+    def run(item: tuple[int, dict]) -> CvResult:
         number, params = item
         try:
             result = cross_validate(data, name, problem, folds, params, classes)
-        except Exception:  # a trial's own failure must not end the search
-            return None
+        except Exception as problem_found:  # a trial's own failure must not end the search; it is recorded
+            return CvResult(name, [], params, status=f"{type(problem_found).__name__}: {problem_found}"[:300])
         if on_trial:
             on_trial(name, number, result.mean)
         return result
 
-    results = [r for r in _in_threads(data.sparkSession, run, list(enumerate(drawn)), workers) if r and r.scores]
-    if not results:
-        return cross_validate(data, name, problem, folds, None, classes)
-    best = max(results, key=lambda r: r.mean)
-    best.tuned = True
+    tried = _in_threads(data.sparkSession, run, list(enumerate(drawn)), workers)
+    results, failed = [r for r in tried if r.scores], [r for r in tried if not r.scores]
+    best = max(results, key=lambda r: r.mean) if results else cross_validate(data, name, problem, folds, None, classes)
+    best.tuned = bool(results)
+    if failed:
+        best.status = f"ok, {len(failed)} of {len(tried)} trials failed, last: {failed[-1].status}"
     return best
 
 
@@ -280,7 +287,7 @@ def _in_threads(spark: SparkSession, run: Callable, items: list, workers: int) -
 
 
 def run_candidates(
-    data: DataFrame, names: list[str], problem: str, folds: int = 5, tune: list[str] | None = None, trials: int = 10,
+    data: DataFrame, names: list[str], problem: str, folds: int | None = None, tune: list[str] | None = None, trials: int = 10,
     classes: int = 2, workers: int = 3, params: dict[str, dict] | None = None,
 ) -> list[CvResult]:
     """Cross-validate (and search) all candidates concurrently, each in its own scheduler pool."""
@@ -328,11 +335,11 @@ def _fit_meta(data: DataFrame, problem: str) -> Model:
     return model.setFeaturesCol("meta")
 
 
-def out_of_fold(data: DataFrame, members: list[CvResult], problem: str, folds: list[int], classes: int) -> DataFrame:
+def out_of_fold(data: DataFrame, members: list[CvResult], problem: str, classes: int) -> DataFrame:
     """Every row with the predictions of members fitted without its fold."""
     slices = []
-    for f in folds:
-        rest, held = data.where((F.col("fold") != f) & F.col("fold").isin(folds)), data.where(F.col("fold") == f)
+    for f in fold_values(data):
+        rest, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
         for i, m in enumerate(members):
             model = fit_model(rest, m.model, problem, m.params, classes)
             held = _predict_into(model, held, f"m{i}", problem, classes)
@@ -362,20 +369,19 @@ class StackedModel:
         return scored.select(*columns, "prediction", *extra)
 
 
-def fit_stack(data: DataFrame, members: list[CvResult], problem: str, folds: list[int], classes: int = 2) -> StackedModel:
+def fit_stack(data: DataFrame, members: list[CvResult], problem: str, classes: int = 2) -> StackedModel:
     metas = _meta_columns(members, classes, problem)
-    oof = cut_lineage(out_of_fold(data, members, problem, folds, classes))
+    oof = cut_lineage(out_of_fold(data, members, problem, classes))
     meta = _fit_meta(VectorAssembler(inputCols=metas, outputCol="meta").transform(oof), problem)
     bases = [fit_model(data, m.model, problem, m.params, classes) for m in members]
     return StackedModel(bases, meta, problem, classes)
 
 
-def stack_scores(data: DataFrame, members: list[CvResult], problem: str, folds: int = 5, classes: int = 2) -> CvResult:
+def stack_scores(data: DataFrame, members: list[CvResult], problem: str, folds: int | None = None, classes: int = 2) -> CvResult:
     """Nested evaluation: the stack is fitted anew without each fold and scored on it."""
     scores = []
-    for f in range(folds):
-        inner = [i for i in range(folds) if i != f]
-        stacked = fit_stack(data.where(F.col("fold") != f), members, problem, inner, classes)
+    for f in fold_values(data, folds):
+        stacked = fit_stack(data.where(F.col("fold") != f), members, problem, classes)
         value = stacked.transform(data.where(F.col("fold") == f)).agg(metric(problem)).first()[0]
         if value is not None:
             scores.append(float(value))

@@ -7,7 +7,7 @@ new checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tabloom.plans.engine import FeatureModel
@@ -28,6 +28,11 @@ def stream_dedup(stream: DataFrame, keys: list[str], ts: str, delay: str = "1 ho
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_distinct(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """First row per key over all time: no key is forgotten, so the state grows with the number of keys."""
+    return stream.select(*keys).dropDuplicates(keys)
+
+
 def stream_profile(stream: DataFrame, ts: str, value: str, window: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Rows, nulls and moments of a value per time window, for watching drift."""
     stamped = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -49,3 +54,18 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, available_now: boo
     """Append a stream to a Parquet table, exactly once per checkpoint."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def replace_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the whole present result of an aggregating stream: every batch writes a version of its own, and read_table
+    takes the newest. A batch that runs again writes the same version."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest version written by replace_table."""
+    newest = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())])).parquet(path).agg(F.max("version")).first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/version={newest}")

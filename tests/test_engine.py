@@ -168,3 +168,35 @@ def test_alignment_and_stacking(spark):
     both = engine.stack_tables(a, a.drop("x"))
     left, right = engine.split_stacked(both)
     assert left.first()["x"] == 2.0 and right.first()["x"] is None
+
+
+def test_a_real_value_named_other_keeps_the_rows(spark):
+    df = spark.range(0, 600).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("OTHER")).otherwise(F.concat(F.lit("v"), (F.col("id") % 70).cast("string"))).alias("c"), (F.col("id") % 2).alias("y"))
+    for limit in (True, False):
+        config = engine.EngineConfig(keep=("id",), type_hints={"c": "categorical"}, categorical=CategoricalConfig(max_categories=10, limit_codes=limit))
+        out = engine.FeatureEngine(config, target="y").fit(df).transform(df)
+        assert out.count() == 600 and out.select("id").distinct().count() == 600
+        real = out.join(df.select("id", "c"), "id").groupBy((F.col("c") == "OTHER").alias("real")).agg(F.collect_set("c_encoded").alias("codes")).collect()
+        codes = {r["real"]: set(r["codes"]) for r in real}
+        assert len(codes[True]) == 1 and not codes[True] & codes[False]
+
+
+def test_target_means_of_the_tail_unseen_and_null_values(spark):
+    rows = [(i, "big", 100.0) for i in range(40)] + [(100 + i, f"t{i}", 10.0 + i) for i in range(20)] + [(200 + i, None, 7.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, c string, y double")
+    config = engine.EngineConfig(keep=("id",), type_hints={"c": "categorical"}, categorical=CategoricalConfig(encoding_method="target", max_categories=2))
+    model = engine.FeatureEngine(config, target="y").fit(df)
+    later = spark.createDataFrame([(1, "big"), (2, "t3"), (3, "never seen"), (4, None)], "id bigint, c string")
+    got = {r["id"]: r["c_target"] for r in model.transform(later).collect()}
+    assert got == {1: 100.0, 2: 19.5, 3: 19.5, 4: 7.0}
+
+
+def test_correlations_count_complete_pairs(spark):
+    import numpy as np
+
+    from tabloom.operators.selection import correlation_matrix
+
+    df = spark.range(0, 90).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("b"), F.lit(1.0).alias("flat"))
+    m = correlation_matrix(df, ["a", "b", "flat"])
+    assert abs(m[0, 1] - 1.0) < 1e-12 and np.isnan(m[0, 2]) and np.isnan(m[1, 2])

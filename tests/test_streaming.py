@@ -36,3 +36,18 @@ def test_stream_dedup_over_batches(spark, tmp_path):
     stream = streams.stream_dedup(files(spark, df, str(tmp_path / "in")), ["k"], "ts", "1 day")
     streams.append_log(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_registered_streams_read_folders_of_part_files(spark, sf, tmp_path):
+    import duckdb
+
+    from tabloom.catalog import modelling
+    from oracle_check import compare
+
+    for name in ("orders", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").orderBy(F.rand(3)).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("u1_stream_features", "u3_stream_dedup", "u4_stream_profile"):
+        assert compare(spark, con, name, modelling.CAT.queries[name], modelling.CAT.sql[name], str(tmp_path)) == "", name

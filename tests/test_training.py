@@ -32,10 +32,10 @@ def test_candidate_order():
     assert training.candidate_order(names, [], names, ["Forest"]) == (names, ["Forest"])
 
 
-@pytest.mark.parametrize("rows,trials", [(100, 25), (2001, 40), (6000, 100), (10**9, 20)])
+@pytest.mark.parametrize("rows,trials", [(100, 25), (2001, 40), (6000, 100), (10**9, 100)])
 def test_search_budget(rows, trials):
     budget = training.search_budget(rows)
-    assert budget.trials == trials and 0 < budget.sample_share <= 1.0
+    assert budget.trials == trials
 
 
 def test_cross_validation_of_a_linear_target(data):
@@ -59,7 +59,7 @@ def test_ridge_equals_the_closed_form(spark, data):
 
 def test_candidates_run_concurrently_and_failures_are_recorded(spark, data):
     frame = selection.assembled(data, ["a", "b"], "c", ["fold"])
-    results = training.run_candidates(frame, [training.LOGISTIC, "Nothing", training.FOREST], "classification", 3,
+    results = training.run_candidates(frame, [training.LOGISTIC, "Nothing", training.FOREST], "classification",
                                       params={training.FOREST: {"n_estimators": 3, "max_depth": 3}, training.LOGISTIC: {"max_iter": 20}})
     board = training.leaderboard(spark, "r", results)
     rows = {r["model"]: r for r in board.collect()}
@@ -78,18 +78,18 @@ def test_search_is_repeatable(data):
     assert training.draw_params(training.FOREST, 5) == training.draw_params(training.FOREST, 5)
     frame = selection.assembled(data, ["a", "b"], "y", ["fold"])
     seen = []
-    best = training.search(frame, training.RIDGE, "regression", 3, 2, on_trial=lambda *t: seen.append(t))
+    best = training.search(frame, training.RIDGE, "regression", 3, on_trial=lambda *t: seen.append(t))
     assert best.tuned and len(seen) == 3 and best.mean == max(t[2] for t in seen)
 
 
 def test_stack_uses_out_of_fold_predictions(data):
     frame = selection.assembled(data, ["a", "b"], "c", ["fold"])
     members = [training.CvResult(training.LOGISTIC, [], {"max_iter": 20}), training.CvResult(training.FOREST, [], {"n_estimators": 3, "max_depth": 3})]
-    oof = training.out_of_fold(frame, members, "classification", [0, 1, 2, 3, 4], 2)
+    oof = training.out_of_fold(frame, members, "classification", 2)
     assert oof.count() == 400 and {"m0_1", "m1_1"} <= set(oof.columns)
-    model = training.fit_stack(frame, members, "classification", [0, 1, 2, 3, 4])
+    model = training.fit_stack(frame, members, "classification")
     assert model.transform(frame).agg(training.metric("classification")).first()[0] > 0.95
-    assert len(training.stack_scores(frame, members, "classification", 3).scores) == 3
+    assert len(training.stack_scores(frame, members, "classification").scores) == 5
 
 
 def test_selection_steps_and_cap(spark, data):
@@ -184,3 +184,28 @@ def test_stratified_split_keeps_shares(spark):
     df = spark.range(0, 1000).select("id", F.when(F.col("id") % 20 == 0, "rare").otherwise("common").alias("c"))
     got = {(r["c"], r["is_test"]): r["count"] for r in shaping.split_stratified(df, "id", "c", 0.2).groupBy("c", "is_test").count().collect()}
     assert got[("rare", True)] == 10 and got[("common", True)] == 190
+
+
+def test_folds_come_from_the_data(data):
+    frame = selection.assembled(data, ["a", "b"], "y", ["fold"])
+    with pytest.raises(ValueError, match="3 folds expected, the data has 5"):
+        training.cross_validate(frame, training.LINEAR, "regression", 3)
+    with pytest.raises(ValueError, match="every row needs"):
+        training.cross_validate(frame.withColumn("fold", F.when(F.col("fold") > 0, F.col("fold"))), training.LINEAR, "regression")
+
+
+def test_failed_trials_are_reported(data, monkeypatch):
+    frame = selection.assembled(data, ["a", "b"], "y", ["fold"])
+    monkeypatch.setattr(training, "draw_params", lambda *a: [{"alpha": "no number"}, {"alpha": 0.1}])
+    best = training.search(frame, training.RIDGE, "regression", 2)
+    assert best.tuned and best.params == {"alpha": 0.1} and best.status.startswith("ok, 1 of 2 trials failed")
+    with pytest.raises(ValueError, match="at most 30 levels"):
+        training.build_model(training.FOREST, "regression", {"max_depth": 31})
+
+
+def test_newest_run_is_the_last_registered(spark, tmp_path):
+    from tabloom.plans import scoring
+
+    for run in ("r9", "r10"):
+        scoring.register_run(spark, str(tmp_path), run, "model")
+    assert scoring.latest_run(spark, str(tmp_path)) == "r10"
