@@ -171,6 +171,13 @@ def diagonal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def diagonal_matches(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """Equal words of two slices on the diagonal through (i, j)."""
+    lead = min(i, j)
+    n = min(len(x) - i, len(y) - j) + lead
+    return int(np.count_nonzero(x[i - lead : i - lead + n] == y[j - lead : j - lead + n]))
+
+
 def align(x: np.ndarray, y: np.ndarray, segments: np.ndarray) -> np.ndarray:
     """Alignment of two slices along a chain of runs (places inside the slices), with the ends extended on their diagonals."""
     lead = int(min(segments[0, 0], segments[0, 2]))
@@ -193,12 +200,13 @@ def align(x: np.ndarray, y: np.ndarray, segments: np.ndarray) -> np.ndarray:
 def passages(columns: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, int]]:
     """(x start, x end, y start, y end, matches) of the best stretches of an alignment."""
     px, py = (np.append(0, np.cumsum(columns[:, i])) for i in (0, 1))
+    found = np.append(0, np.cumsum(columns[:, 2]))
     value = np.append(0, np.cumsum(np.where(columns[:, 2] == 1, 1, -2)))
     out, todo = [], [(0, len(columns))]
     while todo:
         lo, hi = todo.pop()
-        if px[hi] - px[lo] < min_words:
-            continue
+        if px[hi] - px[lo] < min_words or found[hi] - found[lo] < identity * min_words:
+            continue  # no passage fits into it
         low = np.minimum.accumulate(value[lo : hi + 1])
         to = lo + int((value[lo : hi + 1] - low).argmax())
         fro = lo + int(value[lo : to + 1].argmin())
@@ -260,6 +268,8 @@ def repeats(docs: DataFrame, k: int = 8, window: int = 10, gap_cost: float = 0.1
             out: list[list] = [[], [], [], [], [], [], []]
             for num, lo, other, first_lo, x, y, line in zip(*[batch.column(c).to_pylist() for c in ("num", "lo", "first_num", "first_lo", "words", "first_words", "segments")], strict=True):
                 x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+                if len(line) == 4 and diagonal_matches(x, y, line[0] - lo, line[2] - first_lo) < identity * min_words:
+                    continue  # one run, and too few equal words on its whole diagonal
                 segments = np.array(line, dtype=np.int64).reshape(-1, 4) - [lo, lo, first_lo, first_lo]
                 for a, b, c, d, matches in passages(align(x, y, segments), min_words, identity):
                     for values, v in zip(out, (num, lo + a, lo + b, other, first_lo + c, first_lo + d, matches), strict=True):
