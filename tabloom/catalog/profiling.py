@@ -190,15 +190,15 @@ ORDER BY list_position(['o_orderkey', 'o_custkey', 'o_orderstatus'], "column") N
 CAT.add(
     "p17_recommendations",
     lambda spark, d: infer.recommendations(_typed(spark, d)),
-    SQL_TYPED + """SELECT 'preprocessing' AS kind, "column", 'Handle missing values in ''' || "column" || ''' (' ||
- printf('%.1f', (n - present) * 100.0 / n) || '% missing)' AS message FROM typed WHERE (n - present) / n > 0.1
-UNION ALL SELECT 'feature_engineering', '*', 'Consider text feature extraction (TF-IDF, word counts) for text columns'
+    SQL_TYPED + """SELECT 'preprocessing' AS kind, "column", 'More than a tenth is null in ''' || "column" || ''' (' ||
+ printf('%.1f', (n - present) * 100.0 / n) || '% null)' AS message FROM typed WHERE (n - present) / n > 0.1
+UNION ALL SELECT 'feature_engineering', '*', 'Free text is present: term weights and word counts can be derived from it'
  WHERE (SELECT count(*) FROM typed WHERE detected_type = 'text') > 0
-UNION ALL SELECT 'feature_engineering', '*', 'Extract datetime components (year, month, day, hour) from datetime columns'
+UNION ALL SELECT 'feature_engineering', '*', 'Dates are present: calendar parts can be derived from them'
  WHERE (SELECT count(*) FROM typed WHERE detected_type = 'datetime') > 0
-UNION ALL SELECT 'feature_engineering', '*', 'Consider polynomial features or interactions between numerical columns'
+UNION ALL SELECT 'feature_engineering', '*', 'There are several numbers: products and powers of them may help'
  WHERE (SELECT count(*) FROM typed WHERE detected_type = 'numerical') > 3
-UNION ALL SELECT 'warnings', '*', 'ID columns detected - consider excluding from modeling'
+UNION ALL SELECT 'warnings', '*', 'Identifiers are present; they carry nothing to learn from'
  WHERE (SELECT count(*) FROM typed WHERE detected_type = 'id') > 0""",
 )
 

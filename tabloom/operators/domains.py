@@ -33,20 +33,20 @@ SEMANTIC_GROUPS = {
     "categories": ["type", "category", "class", "group", "kind"],
     "temporal": ["date", "time", "year", "month", "day", "hour"],
 }
-# Advice given per domain; the word is what an applicable column must hold ("" = always).
+# Advice given per domain; the word is what an applicable column must hold ("" = always).
 DOMAIN_ADVICE = {
     "finance": [
-        ("price", "Consider log transformation for price columns to handle skewness"),
-        ("price", "Create price ratios and percentage changes"),
+        ("price", "Prices are often skewed: try their logarithm"),
+        ("price", "Relate prices to each other and to their former values"),
     ],
     "healthcare": [
-        ("=age", "Create age groups (child, adult, senior) for better interpretability"),
-        ("weight|height", "Calculate BMI if both weight and height are available"),
+        ("=age", "Ages can be grouped into stages of life"),
+        ("weight|height", "Weight over squared height gives the body mass index"),
     ],
-    "real_estate": [("area|sqft", "Create area per room ratios for efficiency metrics")],
+    "real_estate": [("area|sqft", "Divide areas by the number of rooms")],
     "time_series": [
-        ("", "Extract temporal components (year, month, day, weekday)"),
-        ("", "Create lag features and rolling statistics for temporal patterns"),
+        ("", "Split time stamps into calendar parts"),
+        ("", "Add earlier values and moving averages"),
     ],
 }
 

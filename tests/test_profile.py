@@ -106,7 +106,7 @@ def test_domains(spark):
     assert scores[("h", "healthcare")] == 6
     assert not any(t == "x" for t, _ in scores)
     advice = {(r["table"], r["message"]) for r in domains.domain_advice(catalog).collect()}
-    assert ("h", "Calculate BMI if both weight and height are available") in advice
+    assert ("h", "Weight over squared height gives the body mass index") in advice
     groups = {(r["column"], r["semantic_group"]) for r in domains.semantic_groups(catalog).collect()}
     assert ("body_weight", "measurements") in groups
 
