@@ -144,14 +144,26 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def forward(p: dict[str, np.ndarray], near: np.ndarray, own: np.ndarray) -> tuple:
+def _logits(p: dict[str, np.ndarray], near: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = np.tanh(p["shift"] + sum(p["near"][j][near[:, j]] for j in range(len(SIDES))))
-    group, inside = own // GROUPS, own % GROUPS
-    first = _log_softmax(h @ p["group"] + p["group_bias"])
     g = h + p["given"][group]
-    second = _log_softmax(g @ p["inside"] + p["inside_bias"][group])
+    return h @ p["group"] + p["group_bias"], g @ p["inside"] + p["inside_bias"][group], h, g
+
+
+def forward(p: dict[str, np.ndarray], near: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log-probability of every word."""
+    group, inside = own // GROUPS, own % GROUPS
+    first, second, _, _ = _logits(p, near, group)
     rows = np.arange(len(own))
-    return first[rows, group] + second[rows, inside], h, g, first, second, group, inside
+    return _log_softmax(first)[rows, group] + _log_softmax(second)[rows, inside]
+
+
+def _less_expected(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One at the true class less the probabilities, averaged over the rows."""
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    e *= -1 / (len(own) * e.sum(axis=1, keepdims=True))
+    e[np.arange(len(own)), own] += 1 / len(own)
+    return e
 
 
 def _rows_added(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -161,12 +173,9 @@ def _rows_added(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def gradients(p: dict[str, np.ndarray], near: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean log-likelihood, upwards."""
-    _, h, g, first, second, group, inside = forward(p, near, own)
-    rows = np.arange(len(own))
-    d1, d2 = -np.exp(first), -np.exp(second)
-    d1[rows, group] += 1
-    d2[rows, inside] += 1
-    d1, d2 = d1 / len(own), d2 / len(own)
+    group, inside = own // GROUPS, own % GROUPS
+    first, second, h, g = _logits(p, near, group)
+    d1, d2 = _less_expected(first, group), _less_expected(second, inside)
     dg = d2 @ p["inside"].T
     dh = (d1 @ p["group"].T + dg) * (1 - h * h)
     return {
@@ -226,7 +235,7 @@ def score(table: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
                 rows = batch.slice(at, 64)
                 texts = [np.frombuffer(x, dtype="<u2") for x in rows.column("classes").to_pylist()]
                 near, target = windows(texts)
-                logs = np.concatenate([np.zeros(1), *[forward(own, near[i : i + BATCH], target[i : i + BATCH])[0].astype(np.float64) for i in range(0, len(target), BATCH)]])
+                logs = np.concatenate([np.zeros(1), *[forward(own, near[i : i + BATCH], target[i : i + BATCH]).astype(np.float64) for i in range(0, len(target), BATCH)]])
                 ends = np.cumsum([len(t) for t in texts])
                 total = np.diff(np.append(0, np.cumsum(logs)[ends]))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_words"), pa.array(total)], names=["doc_id", "n_words", "log_likelihood"])
