@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.llm import shingle_join
 from tabloom.llm.components import connected
 from tabloom.llm.queries import op2_lsh_forest
 from tabloom.llm.shingle_join import join_classes, shortest_prefix
@@ -77,6 +78,28 @@ def test_chains_and_large_groups(make, parts):
     assert all(r.n_links > 0 for r in rows if r.doc_id < 215)
 
 
+@pytest.mark.parametrize(("parts", "block"), [(1, 256), (6, 256), (6, 16)])
+def test_every_pair_of_a_template_family_is_counted(make, monkeypatch, parts, block):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    rng = random.Random(5)
+    frame = [f"t{i}" for i in range(90)]
+    docs = []
+    for i in range(40):  # siblings at about 0.7, each with two copies at about 0.9
+        own = frame + [f"s{i}x{k}" for k in range(16)]
+        for j in range(3):
+            w = list(own)
+            if j:
+                w[rng.randrange(3)] = f"y{i}x{j}"
+            docs.append((len(docs), " ".join(w)))
+    w = [f"c{i}" for i in range(100)]
+    docs += [(1000 + i, " ".join([*w[:50], f"z{i}", *w[51:]])) for i in range(60)]
+    rows = join_classes(make(docs, parts)).collect()
+    sets = {i: shingle_set(t) for i, t in docs}
+    want = {i: sum(len(s & o) / len(s | o) >= 0.8 for j, o in sets.items() if j != i) for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in rows} == want and min(want.values()) >= 2
+    assert grouped(rows) == brute(docs)
+
+
 def test_odd_rows(make):
     rows = join_classes(make([*ODD, (9, "repeat me!"), (10, None)])).collect()
     got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in rows)
