@@ -213,9 +213,15 @@ def passages(columns: np.ndarray, min_words: int, identity: float) -> list[tuple
         if to <= fro:
             continue
         matches = int(columns[fro:to, 2].sum())
-        if px[to] - px[fro] >= min_words and matches >= identity * (to - fro):
-            out.append((int(px[fro]), int(px[to]), int(py[fro]), int(py[to]), matches))
         todo += [(lo, fro), (to, hi)]
+        if px[to] - px[fro] < min_words:
+            continue
+        if matches >= identity * (to - fro):
+            out.append((int(px[fro]), int(px[to]), int(py[fro]), int(py[to]), matches))
+        else:  # too many errors inside: the parts beside the worst gap
+            high = np.maximum.accumulate(value[fro : to + 1])
+            end = fro + int((high - value[fro : to + 1]).argmax())
+            todo += [(fro, fro + int(value[fro : end + 1].argmax())), (end, to)]
     return sorted(out)
 
 

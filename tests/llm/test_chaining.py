@@ -124,6 +124,16 @@ def test_alignments():
     assert passages(columns, 50, 0.8) == [(0, 100, 10, 111, 100)]
 
 
+@pytest.mark.parametrize(("size", "gap", "blocks"), [(50, 24, 3), (50, 13, 12), (60, 20, 2)])
+def test_exact_passages_between_different_words(size, gap, blocks):
+    equal, other = np.ones((size, 3), dtype=np.int64), np.tile([1, 1, 0], (gap, 1))
+    columns = np.concatenate([x for i in range(blocks) for x in ([other] * (i > 0) + [equal])])
+    found = passages(columns, 50, 0.8)
+    inside = {w for a, b, *_ in found for w in range(a, b)}
+    assert inside >= {w for i in range(blocks) for w in range(i * (size + gap), i * (size + gap) + size)}
+    assert all(m >= 0.8 * (b - a) and b - a >= 50 for a, b, _, _, m in found)
+
+
 def test_cut_out(make, spark):
     docs = make([(1, "One, two; three. Four five!"), (2, None), (3, "é ü, ö end")])
     rows = docs.withColumn("key", F.unhex(F.md5(F.concat_ws("\u0001", F.col("doc_id").cast("string"), F.col("text").isNull().cast("string"), F.coalesce("text", F.lit(""))))))
