@@ -1,9 +1,10 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-1. `seeds`: each document gives the fingerprints of its k-mers (runs of `k` words) at content-selected places
-   (minimisers), so that two places with `k + window - 1` equal words in a row share one.
-2. `anchors`: seeds that occur more than once are joined with the first occurrence of the seed in the corpus. Every other
-   occurrence gives one anchor (its place, the first place), so the number of anchors never exceeds the number of seeds,
+1. `seeds`: each document gives the fingerprints of its runs of `k` words at content-selected places (minimisers), for each
+   (k, window) of `levels`, so that two places with `k + window - 1` equal words in a row share one.
+2. `anchors`: seeds that occur more than once are joined with the first occurrence of the seed in the corpus and with the
+   previous one. Short seeds are often first elsewhere; the long seeds across such pieces are shared only by documents
+   that have the pieces in the same order, and link those. The number of anchors is at most twice that of the seeds,
    however often a passage is repeated.
 3. `chain`: the anchors of a pair of documents are merged into runs on one diagonal and chained in both documents' order.
    A chain's score is the matched words less a cost per word of gap; a Fenwick tree over the ends in the first document
@@ -16,7 +17,7 @@ A passage is reported for the later occurrence, with the place of the earlier on
 are read; a repeat inside one document too). Null, empty and short texts have no passages. Rows equal in id and text are
 told apart as occurrences, and their spans are reported once. Null ids stay null. An empty table gives no rows; other
 columns are not read. Words are compared by 32-bit fingerprints. A task holds one document and its anchors, at most
-one per seed.
+two per seed.
 """
 
 from __future__ import annotations
@@ -30,45 +31,55 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabloom.llm.common import distinct_texts, row_key, stored, text_chunks, texts_of
 from tabloom.llm.words import Words, minimizers, window_hashes
+from tabloom.operators.ordered import previous
 
 MIN_WORDS = 50
+#: (words of a seed, places among which one is selected), short seeds first.
+LEVELS = ((8, 10), (16, 9))
+#: Anchors of one diagonal at most so many words apart are one run.
+REACH = 18
 
 
-def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(num, key, doc_id, n_words, seed, at): a stored row per document, with its seeds and their places; num numbers the rows."""
+def seeds(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(num, key, n_words, seed, at, size): a stored row per document, with its seeds, their places and words; num numbers the rows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num = TaskContext.get().partitionId() << 33
         for batch in batches:
             for keys, texts in text_chunks(iter([batch.select(["key", "text"]).rename_columns(["doc_id", "text"])]), 1 << 19):
                 words = Words(texts)
-                found, at = [], []
+                found, at, size = [], [], []
                 for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True):
-                    h = window_hashes(words.hashes[a:b], k)
-                    places = minimizers(h, window)
-                    found.append(h[places].view(np.int64))
-                    at.append(places)
-                bounds = np.append(0, np.cumsum([len(x) for x in at])).astype(np.int32)
+                    for k, window in levels:
+                        h = window_hashes(words.hashes[a:b], k)
+                        places = minimizers(h, window)
+                        found.append(h[places].view(np.int64))
+                        at.append(places)
+                        size.append(np.full(len(places), k, dtype=np.int8))
+                bounds = pa.array(np.append(0, np.cumsum([len(x) for x in at])[len(levels) - 1 :: len(levels)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(num, num + len(keys))), pa.array(keys, pa.binary()), pa.array(np.diff(words.bounds)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(at).astype(np.int32))),
-                ], names=["num", "key", "n_words", "seed", "at"])
+                    *[pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (np.concatenate(found), np.concatenate(at).astype(np.int32), np.concatenate(size))],
+                ], names=["num", "key", "n_words", "seed", "at", "size"])
                 num += len(keys)
 
     rows = docs.withColumn("key", row_key()).select("key", "text")
-    return stored(rows.mapInArrow(find, "num bigint, key binary, n_words bigint, seed array<bigint>, at array<int>"), "seeds", compression="zstd")
+    return stored(rows.mapInArrow(find, "num bigint, key binary, n_words bigint, seed array<bigint>, at array<int>, size array<tinyint>"), "seeds", compression="zstd")
 
 
-def occurrences(table: DataFrame, value: str) -> DataFrame:
-    return table.select("num", F.explode(F.arrays_zip(value, "at")).alias("s")).select("num", F.col(f"s.{value}").alias(value), F.col("s.at").alias("at"))
+def occurrences(table: DataFrame, *values: str) -> DataFrame:
+    return table.select("num", F.explode(F.arrays_zip(*values, "at")).alias("s")).select("num", *[F.col(f"s.{v}").alias(v) for v in values], F.col("s.at").alias("at"))
 
 
 def anchors(table: DataFrame) -> DataFrame:
-    """(num, first_num, hits): for each document and each document that has some of its seeds first, the places (at, first_at)."""
-    rows = occurrences(table, "seed")
+    """(num, first_num, hits): for each document and each document that has some of its seeds first or just before it, the
+    places (at, first_at) and words (size)."""
+    rows = occurrences(table, "seed", "size")
     first = rows.groupBy("seed").agg(F.min(F.struct("num", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("seed", "first")
-    later = rows.join(first, "seed").filter(F.struct("num", "at") != F.col("first"))
-    return later.groupBy("num", F.col("first.num").alias("first_num")).agg(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("first.at").alias("first_at")))).alias("hits"))
+    shared = stored(rows.join(first, "seed").withColumn("own", F.struct("num", "at")), "shared-seeds", compression="zstd")
+    linked = previous(shared, ["seed"], ["num", "at"], "own", "before").filter("own <> first")
+    earlier = linked.select("num", "at", "size", F.explode(F.array_distinct(F.array("first", "before"))).alias("first"))
+    return earlier.groupBy("num", F.col("first.num").alias("first_num")).agg(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("first.at").alias("first_at"), F.col("size")))).alias("hits"))
 
 
 class Fenwick:
@@ -244,17 +255,20 @@ def slices(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "num bigint, lo bigint, hi bigint, words binary")
 
 
-def repeats(docs: DataFrame, k: int = 8, window: int = 10, gap_cost: float = 0.1, max_gap: int = 60, min_words: int = MIN_WORDS, identity: float = 0.8, pad: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS, gap_cost: float = 0.1, max_gap: int = 60, min_words: int = MIN_WORDS, identity: float = 0.8, pad: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, doc_id, start, end, first_key, first_id, first_start, first_end, matches): fuzzy passages that occurred before."""
     docs = texts_of(docs, id_col, text_col)
-    table = seeds(docs, k, window)
+    table = seeds(docs, levels)
+    k = levels[0][0]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for num, first, hits in zip(batch.column("num").to_pylist(), batch.column("first_num").to_pylist(), batch.column("hits"), strict=True):
                 flat = hits.values.flatten()
-                segments = runs(flat[0].to_numpy().astype(np.int64), flat[1].to_numpy().astype(np.int64), k, k + window)
+                at, first_at, size = (x.to_numpy().astype(np.int64) for x in flat)
+                places = np.unique(np.stack([np.append(at, at + size - k), np.append(first_at, first_at + size - k)]), axis=1)  # a long seed is short ones at both ends
+                segments = runs(*places, k, REACH)
                 for line in chain(segments, gap_cost, max_gap):
                     own = segments[line]
                     row = (num, first, max(int(own[0, 0]) - pad, 0), int(own[-1, 1]) + pad, max(int(own[0, 2]) - pad, 0), int(own[-1, 3]) + pad, own.ravel().tolist())

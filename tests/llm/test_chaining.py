@@ -83,6 +83,19 @@ def test_planted_passages(make, parts):
     assert len({r.doc_id for r in rows}) == 20  # all but the first one, and the repeat inside one document
 
 
+@pytest.mark.parametrize("between_them", [False, True])
+def test_passage_whose_pieces_stand_in_other_documents(make, between_them):
+    rng = random.Random(12)
+    passage = fresh(rng, 80)
+    pieces = lambda: [" ".join(fresh(rng, 40) + passage[i : i + 20] + fresh(rng, 40)) for i in range(0, 72, 12)]
+    whole = lambda: " ".join(fresh(rng, 40) + passage + fresh(rng, 40))
+    texts = [*pieces(), whole(), *(pieces() if between_them else []), whole()]
+    rows = repeats(make(list(enumerate(texts)), 1)).collect()
+    last = len(texts) - 1
+    assert {(r.doc_id, r.first_id) for r in rows} == {(last, 6)}
+    assert covered(rows)[last] >= set(range(40, 120))
+
+
 def test_odd_rows_and_empty_table(make):
     rows = repeats(make([*ODD, (11, "word " * 3000)])).collect()
     assert {r.doc_id for r in rows} <= {7, 11} and {r.doc_id for r in rows}
