@@ -7,7 +7,7 @@
    that have the pieces in the same order, and link those. The number of anchors is at most twice that of the seeds,
    however often a passage is repeated.
 3. `chain`: the anchors of a pair of documents are merged into runs on one diagonal and chained in both documents' order.
-   A chain's score is the matched words less a cost per word of gap; a Fenwick tree over the ends in the first document
+   A chain needs two anchors at least; its score is the matched words less a cost per word of gap; a Fenwick tree over the ends in the first document
    gives the best predecessor of each run in logarithmic time.
 4. `align`: chains are aligned word by word: on the diagonal of a run, by an edit alignment between runs, and up to
    `pad` words beyond both ends. The stretches with the best balance of matches and errors are the passages: at least
@@ -34,8 +34,9 @@ from tabloom.llm.words import Words, minimizers, window_hashes
 from tabloom.operators.ordered import previous
 
 MIN_WORDS = 50
-#: (words of a seed, places among which one is selected), short seeds first.
-LEVELS = ((8, 10), (16, 9))
+#: (words of a seed, places among which one is selected), short seeds first. Of 50 words with 40 equal ones, the equal
+#: runs have at least 7 places with four equal words in a row, wherever the errors are, so all places are seeds.
+LEVELS = ((4, 1), (8, 4), (16, 9))
 #: Anchors of one diagonal at most so many words apart are one run.
 REACH = 18
 
@@ -271,13 +272,16 @@ def repeats(docs: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS, gap_c
                 segments = runs(*places, k, REACH)
                 for line in chain(segments, gap_cost, max_gap):
                     own = segments[line]
+                    if (own[:, 1] - own[:, 0]).sum() <= k:
+                        continue
                     row = (num, first, max(int(own[0, 0]) - pad, 0), int(own[-1, 1]) + pad, max(int(own[0, 2]) - pad, 0), int(own[-1, 3]) + pad, own.ravel().tolist())
                     if row[3] - row[2] >= min_words:
                         for values, v in zip(out, row, strict=True):
                             values.append(v)
             yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in out[:6]], pa.array(out[6], pa.list_(pa.int64()))], names=["num", "first_num", "lo", "hi", "first_lo", "first_hi", "segments"])
 
-    chains = stored(anchors(table).mapInArrow(link, "num bigint, first_num bigint, lo bigint, hi bigint, first_lo bigint, first_hi bigint, segments array<bigint>"), "chains")
+    several = anchors(table).filter((F.size("hits") > 1) | (F.element_at("hits", 1)["size"] > k))
+    chains = stored(several.mapInArrow(link, "num bigint, first_num bigint, lo bigint, hi bigint, first_lo bigint, first_hi bigint, segments array<bigint>"), "chains")
     mine = chains.select("num", "lo", "hi")
     first = chains.select(F.col("first_num").alias("num"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"))
     cuts = stored(slices(docs, table, mine.unionByName(first)), "slices")

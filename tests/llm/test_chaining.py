@@ -90,12 +90,24 @@ def test_passage_whose_pieces_stand_in_other_documents(make, between_them):
     pieces = lambda: [" ".join(fresh(rng, 40) + passage[i : i + 20] + fresh(rng, 40)) for i in range(0, 72, 12)]
     whole = lambda: " ".join(fresh(rng, 40) + passage + fresh(rng, 40))
     texts = [*pieces(), whole(), *(pieces() if between_them else []), whole()]
-    rows = repeats(make(list(enumerate(texts)), 1)).collect()
+    rows = repeats(make(list(enumerate(texts)), 1).sortWithinPartitions("doc_id")).collect()
     last = len(texts) - 1
     assert {(r.doc_id, r.first_id) for r in rows} == {(last, 6)}
     assert covered(rows)[last] >= set(range(40, 120))
 
 
+@pytest.mark.parametrize("every", [5, 6, 8, 10])
+def test_passages_with_spread_errors(make, every):
+    rng = random.Random(every)
+    docs = []
+    for i in range(0, 40, 2):
+        passage = fresh(rng, 59)
+        copy = [f"e{i}x{k}" if k % every == every - 1 else w for k, w in enumerate(passage)]
+        docs += [(i, " ".join(fresh(rng, 40) + passage + fresh(rng, 40))), (i + 1, " ".join(fresh(rng, 40) + copy + fresh(rng, 40)))]
+    got = covered(repeats(make(docs)).collect())
+    assert all(len(got.get(i, set()) & set(range(40, 99))) >= 50 for i in range(40))
+
+
 def test_odd_rows_and_empty_table(make):
     rows = repeats(make([*ODD, (11, "word " * 3000)])).collect()
     assert {r.doc_id for r in rows} <= {7, 11} and {r.doc_id for r in rows}
