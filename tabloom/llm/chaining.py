@@ -36,7 +36,8 @@ from tabloom.operators.ordered import previous
 MIN_WORDS = 50
 #: (words of a seed, places among which one is selected), short seeds first. Of 50 words with 40 equal ones, the equal
 #: runs have at least 7 places with four equal words in a row, wherever the errors are, so all places are seeds.
-LEVELS = ((4, 1), (8, 4), (16, 9))
+#: Pieces of a passage that stand elsewhere are too short to be passages: any 50 equal words have a seed of 40.
+LEVELS = ((4, 1), (8, 4), (16, 9), (40, 11))
 #: Anchors of one diagonal at most so many words apart are one run.
 REACH = 18
 
