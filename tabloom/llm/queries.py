@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query, scratch
-from tabloom.llm import chaining, licences, packing, positional_index, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files
+from tabloom.llm import alignment, chaining, licences, packing, positional_index, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files
 from tabloom.llm.common import benchmark, documents, labels
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -70,7 +71,14 @@ def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other_id").alias("other_doc_id"), F.col("other_start").alias("other_start_word"))
 
 
-for query in (op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op5_mixing_coder, op6_collinear_chains, op7_best_two_fit, op8_quality_rules, op9_masked_likelihood, op10_sparse_suffixes):
+def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), BPE, PIECES)
+
+
+for query in (
+    op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op5_mixing_coder, op6_collinear_chains, op7_best_two_fit, op8_quality_rules, op9_masked_likelihood,
+    op10_sparse_suffixes, op13_fragment_alignment,
+):
     QUERIES[query.__name__] = query
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
