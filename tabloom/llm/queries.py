@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query, scratch
-from tabloom.llm import alignment, chaining, licences, packing, positional_index, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files
-from tabloom.llm.common import benchmark, documents, labels
+from tabloom.llm import alignment, chaining, licences, packing, positional_index, prefix_trie, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files
+from tabloom.llm.common import benchmark, documents, labels, ship
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,13 +71,19 @@ def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other_id").alias("other_doc_id"), F.col("other_start").alias("other_start_word"))
 
 
+def op12_splitter_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    nodes = prefix_trie.trie(prefix_trie.rebuilt_paths(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return nodes.withColumn("ends_sha256", F.lower(F.hex("ends_digest"))).drop("ends_digest")
+
+
 def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), BPE, PIECES)
 
 
 for query in (
     op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op5_mixing_coder, op6_collinear_chains, op7_best_two_fit, op8_quality_rules, op9_masked_likelihood,
-    op10_sparse_suffixes, op13_fragment_alignment,
+    op10_sparse_suffixes, op12_splitter_skeleton, op13_fragment_alignment,
 ):
     QUERIES[query.__name__] = query
 

@@ -34,12 +34,13 @@ def brute(libraries, texts):
             a, b = first.encode(" " + text, add_special_tokens=False), second.encode(text)
             a_bytes = [bytes(decode[c] for c in t) for t in a.tokens]
             b_bytes = [bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, second.id_to_piece(i)) for i in b)]
+            a_ids = a.ids
             if b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
                 i = j = end_a = end_b = 0
                 left, right = [], []
-                while i < len(a.ids) or j < len(b):
-                    if end_a <= end_b and i < len(a.ids):
-                        left.append(a.ids[i])
+                while i < len(a_ids) or j < len(b):
+                    if end_a <= end_b and i < len(a_ids):
+                        left.append(a_ids[i])
                         end_a += len(a_bytes[i])
                         i += 1
                     else:
