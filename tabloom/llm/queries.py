@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import Query, scratch
-from tabloom.llm import alignment, chaining, licences, packing, positional_index, prefix_trie, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files
+from tabloom.llm import alignment, chaining, licences, packing, positional_index, prefix_trie, pseudo_lm, quality, shingle_join, sparse_suffix, token_counts, token_files, toxicity
 from tabloom.llm.common import benchmark, documents, labels, ship
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,20 @@ def op10_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other_id").alias("other_doc_id"), F.col("other_start").alias("other_start_word"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter(~held_out())
+
+
+def op11_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score_texts(docs, toxicity.learn(docs, training_labels(labels(spark, sf_dir))))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_words", "n_hits")
+
+
 def op12_splitter_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     nodes = prefix_trie.trie(prefix_trie.rebuilt_paths(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
@@ -83,7 +97,7 @@ def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for query in (
     op1_token_counts, op2_lsh_forest, op3_licence_digests, op4_positional_index, op5_mixing_coder, op6_collinear_chains, op7_best_two_fit, op8_quality_rules, op9_masked_likelihood,
-    op10_sparse_suffixes, op12_splitter_skeleton, op13_fragment_alignment,
+    op10_sparse_suffixes, op11_weighted_lexicon, op12_splitter_skeleton, op13_fragment_alignment,
 ):
     QUERIES[query.__name__] = query
 
