@@ -9,7 +9,8 @@ per word.
 
 `learn` takes the terms from labelled documents: beginnings and whole words that stand (once, or twice and more) in
 clearly more toxic than clean documents (signed root of the likelihood ratio), the most telling first, and no term that
-contains or is contained in one taken before. Their weights are log ratios of rates per word. Phrases of a hit and a
+contains or is contained in one taken before. Their weights are log ratios of rates per word, at least `min_weight`:
+in a large corpus even a tiny difference is significant. Phrases of a hit and a
 neighbour word that mark clean documents become exceptions. At most `max_labelled` labelled documents are used, the ones
 with the least hashes; a term is looked for in clean documents only when it stands in `min_share` of the toxic ones
 (3 at least), which bounds the candidates by the terms of 1 / min_share toxic documents.
@@ -89,9 +90,7 @@ class Folder:
             number[ends[bare]] -= 1
             keep = digits & (np.cumsum(number)[:-1] > 0)
             out[keep] = codes[keep]
-        first = np.zeros(len(codes), dtype=bool)
-        first[edge[::2]] = True
-        return "".join(" " + w for w in out.astype("<u4").tobytes().decode("utf-32-le").split(" ") if w) + " " if first.any() else " "
+        return f" {' '.join(out.astype('<u4').tobytes().decode('utf-32-le').split())} " if len(edge) else " "
 
 
 _folder: list[Folder] = []
@@ -174,17 +173,9 @@ class Matcher:
         return float(1 / (1 + np.exp(-np.dot(self.features(counts, words), self.lexicon.coefficients))))
 
 
-def stems(text: str | None) -> Counter:
-    """Times that each whole word and each beginning of words stands in a text."""
-    words: Counter = Counter()
-    for part in folded(text):
-        words.update(part.split())
-    out: Counter = Counter()
-    for word, n in words.items():
-        out[f" {word} "] += n
-        for size in range(SHORTEST, min(len(word), LONGEST_STEM) + 1):
-            out[f" {word[:size]}"] += n
-    return out
+def stems(word: str) -> tuple[str, ...]:
+    """What the lexicon could hold of a word: the whole word and its beginnings."""
+    return (f" {word} ", *(f" {word[:size]}" for size in range(SHORTEST, min(len(word), LONGEST_STEM) + 1)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -201,11 +192,21 @@ def _counted(rows: DataFrame, candidates: list[str] | None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice, times = Counter(), Counter(), Counter()
         wanted = shared.value
+        known: dict[str, tuple[str, ...]] = {}  # words that came before; emptied when it has grown large
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = stems(text)
-                for term in found if wanted is None else found.keys() & wanted:
-                    n = found[term]
+                words = Counter(w for part in folded(text) for w in part.split())
+                found: Counter = Counter()
+                for word, n in words.items():
+                    terms = known.get(word)
+                    if terms is None:
+                        terms = stems(word) if wanted is None else tuple(t for t in stems(word) if t in wanted)
+                        if len(known) > 1 << 19:
+                            known.clear()
+                        known[word] = terms
+                    for term in terms:
+                        found[term] += n
+                for term, n in found.items():
                     once[term] += 1
                     times[term] += min(n, 5)
                     if n > 1:
@@ -230,7 +231,7 @@ def telling(k1: int, n1: int, k0: int, n0: int) -> float:
     return float(np.sign(k1 * n0 - k0 * n1) * np.sqrt(max(2 * gain, 0.0)))
 
 
-def chosen_terms(toxic: dict[str, tuple], clean: dict[str, tuple], n1: int, n0: int, words1: int, words0: int, least: float, max_terms: int) -> dict[str, float]:
+def chosen_terms(toxic: dict[str, tuple], clean: dict[str, tuple], n1: int, n0: int, words1: int, words0: int, least: float, min_weight: float, max_terms: int) -> dict[str, float]:
     """Weights of the terms taken. toxic, clean: (once, twice, times) of each term."""
     ranked = []
     for term, (once, twice, times) in toxic.items():
@@ -241,7 +242,7 @@ def chosen_terms(toxic: dict[str, tuple], clean: dict[str, tuple], n1: int, n0:
     taken: dict[str, float] = {}
     begun: set[str] = set()  # all beginnings of the terms taken
     for *_, term, weight in sorted(ranked):
-        if weight > 0 and len(taken) < max_terms and term not in begun and not any(term[:k] in taken for k in range(1, len(term))):
+        if weight >= min_weight and len(taken) < max_terms and term not in begun and not any(term[:k] in taken for k in range(1, len(term))):
             taken[term] = float(weight)
             begun.update(term[:k] for k in range(1, len(term) + 1))
     return taken
@@ -272,9 +273,12 @@ def exception_phrases(rows: DataFrame, terms: dict[str, float], least: float) ->
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] if k[2] else 0 for k in keys], pa.int64()), pa.array([0 if k[2] else found[k] for k in keys], pa.int64())], names=["term", "phrase", "toxic", "clean"])
 
     counts = rows.mapInArrow(count, "term string, phrase string, toxic bigint, clean bigint").groupBy("term", "phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    alone = {r.term: (r.toxic, r.clean) for r in counts.filter("phrase = ''").collect()}  # one row per term
+    rows = counts.filter("phrase = '' OR clean >= 3 AND clean > 4 * toxic").collect()
+    alone = {r.term: (r.toxic, r.clean) for r in rows if not r.phrase}
     out = set()
-    for r in counts.filter("phrase <> '' AND clean >= 3 AND clean > 4 * toxic").collect():
+    for r in rows:
+        if not r.phrase:
+            continue
         toxic, clean = alone[r.term]
         if telling(r.clean, clean, r.toxic, toxic) >= least:
             out.add(r.phrase)
@@ -294,7 +298,7 @@ def fitted(features: np.ndarray, toxic: np.ndarray, penalty: float = 1e-2) -> tu
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 100_000, max_terms: int = 2048, least: float = 4.5, min_share: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 100_000, max_terms: int = 2048, least: float = 4.5, min_weight: float = 1.0, min_share: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The lexicon of the labelled documents (labels: doc_id, toxic)."""
     rows = stored(labelled(texts_of(docs, id_col, text_col), labels, max_labelled), "labelled")
     n_words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
@@ -305,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 100_000, max_t
     often = max(3, int(np.ceil(min_share * n1)))
     toxic = {r.term: (r.once, r.twice, r.times) for r in _counted(rows.filter("toxic"), None).filter(F.col("once") >= often).collect()}
     clean = {r.term: (r.once, r.twice, r.times) for r in _counted(rows.filter("NOT toxic"), list(toxic)).collect()}
-    terms = chosen_terms(toxic, clean, n1, n0, words1, words0, least, max_terms)
+    terms = chosen_terms(toxic, clean, n1, n0, words1, words0, least, min_weight, max_terms)
     draft = Lexicon(terms, exception_phrases(rows, terms, least))
     shared = rows.sparkSession.sparkContext.broadcast(draft)
 
@@ -316,8 +320,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 100_000, max_t
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     # at most max_labelled rows of five numbers
-    table = rows.mapInArrow(measured, "x array<double>, toxic boolean").orderBy("toxic", "x").toPandas()
-    return Lexicon(draft.terms, draft.exceptions, fitted(np.array(table.x.tolist()), table.toxic.to_numpy(dtype=float)))
+    table = rows.mapInArrow(measured, "x array<double>, toxic boolean").toPandas()
+    points = np.column_stack([np.array(table.x.tolist()), table.toxic.to_numpy(dtype=float)])
+    points = points[np.lexsort(points.T)]  # the sums do not depend on the order of arrival
+    return Lexicon(draft.terms, draft.exceptions, fitted(points[:, :-1], points[:, -1]))
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
