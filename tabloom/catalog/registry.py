@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tabloom.catalog import choosing, features, ingest, modelling, profiling, results
+from tabloom.catalog import choosing, features, ingest, modelling, profiling, results, timelines
 from tabloom.catalog.common import Catalog
 
 
 def catalog() -> Catalog:
     merged = Catalog()
-    for module in (ingest, profiling, features, choosing, modelling, results):
+    for module in (ingest, profiling, features, choosing, modelling, results, timelines):
         merged.update(module.CAT)
     return merged
