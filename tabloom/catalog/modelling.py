@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.catalog.common import Catalog, scratch, table
+from tabloom.catalog.common import Catalog, scratch, sql_hash, table
 from tabloom.functions.hashing import bucket, hash32
 from tabloom.operators import output
-from tabloom.plans import engine, scoring, training
+from tabloom.plans import engine, scoring, training, winner
 from tabloom.plans.selection import assembled
 from tabloom.streaming import streams
 
@@ -136,6 +136,77 @@ CAT.add("r2_confidence", lambda spark, d: _final(spark, d).groupBy("prediction")
     F.count("*").alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high")))
 
 
+def _refit_winner(spark: SparkSession, d: str) -> DataFrame:
+    """Leaderboard of two candidates with a closed form, the winner fitted on all rows, saved, loaded and applied."""
+    lines = table(spark, d, "lineitem").withColumn("fold", bucket("l_orderkey", 5).cast("int"))
+    frame = training.training_frame(assembled(lines, ["l_quantity"], "l_extendedprice", ["fold"]))
+    try:
+        tried = [training.cross_validate(frame, training.LINEAR, "regression", 5, {"fit_intercept": own}) for own in (True, False)]
+    finally:
+        frame.unpersist()
+    board = training.leaderboard(spark, "r1", tried)
+    path = scratch(spark, "winner")
+    winner.fit_winner(lines, ["l_quantity"], "l_extendedprice", winner.board_results(board, "r1"), "regression").save(spark, path, "r1")
+    kept = winner.Winner.load(spark, path, scoring.latest_run(spark, path))
+    made = kept.predict(lines.select("l_quantity").distinct())
+    return made.select("l_quantity", F.round("prediction", 2).alias("prediction"), F.lit(round(kept.candidate.mean / 1e6, 4)).alias("mean_score"))
+
+
+CAT.add(
+    "m16_refit_winner", _refit_winner,
+    f"""WITH l AS (SELECT l_quantity AS x, l_extendedprice AS y, {sql_hash("l_orderkey")} % 5 AS f FROM lineitem),
+fits AS (SELECT g.f, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, sum(x * y) / sum(x * x) AS c FROM l JOIN (SELECT DISTINCT f FROM l) g ON l.f <> g.f GROUP BY g.f),
+scores AS (SELECT f, -avg((y - a * x - b) * (y - a * x - b)) AS own, -avg((y - c * x) * (y - c * x)) AS none FROM l JOIN fits USING (f) GROUP BY f),
+board AS (SELECT avg(own) AS own, avg(none) AS none FROM scores), whole AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, sum(x * y) / sum(x * x) AS c FROM l)
+SELECT DISTINCT x AS l_quantity, round(CASE WHEN own >= none THEN a * x + b ELSE c * x END, 2) AS prediction, round(greatest(own, none) / 1e6, 4) AS mean_score FROM l, board, whole""",
+)
+
+
+def _stack_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A stack scored on rows it was not fitted on: fitted anew without each fold."""
+    frame = training.training_frame(_price(spark, d))
+    try:
+        members = [training.CvResult(training.LINEAR, []), training.CvResult(training.RIDGE, [], {"alpha": 1.0})]
+        return _scores(spark, [training.stack_scores(frame, members, "regression")])
+    finally:
+        frame.unpersist()
+
+
+CAT.add("m14_stack_scores", _stack_scores)
+
+
+def _deadline_search(spark: SparkSession, d: str) -> DataFrame:
+    """Forests and boosting searched by halving on all rows; the seconds hold for each."""
+    orders = table(spark, d, "orders").withColumns({"fold": bucket("o_orderkey", 3).cast("int"), "month": F.month("o_orderdate"), "year": F.year("o_orderdate")})
+    frame = training.training_frame(assembled(orders, ["month", "year", "o_custkey"], "o_totalprice", ["fold"]))
+    try:
+        budget = training.Budget(6, 30, 6, 30)
+        found = training.run_candidates(frame, [training.FOREST, training.BOOSTING], "regression", tune=[training.FOREST, training.BOOSTING], budget=budget)
+        return training.leaderboard(spark, "r1", found).select("model", "mean", "std", "tuned", "status")
+    finally:
+        frame.unpersist()
+
+
+CAT.add("m9_deadline_search", _deadline_search)
+
+
+def _class_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names in, names out: the place of a line in its order decides its class, which a forest of one feature learns exactly."""
+    place = F.col("l_linenumber")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(place == 1, "first").when(place < 5, "middle").otherwise("late").alias("place"))
+    made = winner.fit_winner(lines, ["l_linenumber"], "place", [training.CvResult(training.FOREST, [1.0], {"n_estimators": 5, "max_depth": 4})], "classification")
+    path = scratch(spark, "classes")
+    made.save(spark, path, "r1")
+    scored = winner.Winner.load(spark, path, "r1").predict(lines)
+    return scored.groupBy("l_linenumber", "prediction").agg(F.count("*").alias("n"))
+
+
+CAT.add(
+    "r1_class_names", _class_names,
+    "SELECT l_linenumber, CASE WHEN l_linenumber = 1 THEN 'first' WHEN l_linenumber < 5 THEN 'middle' ELSE 'late' END AS prediction, count(*) AS n FROM lineitem GROUP BY ALL",
+)
+
+
 def _orders_scorer(spark: SparkSession, d: str) -> scoring.Scorer:
     o = table(spark, d, "orders")
     train = o.where(hash32("o_orderkey") % 5 != 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.catalog.common import ORDERS_N, Catalog, orders_with_nulls, rounded, table
-from tabloom.operators import domains, infer, profile, selection
+from tabloom.operators import context, domains, infer, profile, selection
 from tabloom.session import spread
 
 CAT = Catalog()
@@ -318,6 +318,32 @@ CAT.add(
 )
 
 
+CONTEXT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_returnflag"]
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    return context.derived_context(table(spark, d, "lineitem").select(*CONTEXT), "l_extendedprice", top=3).select("kind", "name", "other", F.round("value", 5).alias("value"))
+
+
+_NUMBERS = [c for c in CONTEXT if c not in ("l_extendedprice", "l_returnflag")]
+CAT.add(
+    "p27_derived_context", _context,
+    f"""WITH vars AS ({sql_each(_NUMBERS, "var_samp({c}) AS value", "lineitem")}), best AS (SELECT "column", value, row_number() OVER (ORDER BY value DESC, "column") AS k FROM vars),
+pairs AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM lineitem" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :])}),
+aim AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, abs(corr({c}, l_extendedprice)) AS r FROM lineitem" for c in _NUMBERS)})
+SELECT 'variance' AS kind, "column" AS name, NULL AS other, round(value, 5) AS value FROM best WHERE k <= 4
+UNION ALL (SELECT 'pair', p."column", q."column", NULL FROM best p JOIN best q ON p.k < q.k WHERE q.k <= 4 ORDER BY p.k, q.k LIMIT 3)
+UNION ALL (SELECT 'correlation', a, b, round(r, 5) FROM pairs ORDER BY r DESC LIMIT 3)
+UNION ALL (SELECT 'target_correlation', c, NULL, round(r, 5) FROM aim ORDER BY r DESC LIMIT 3)""",
+)
+CAT.add(
+    "p28_target_stats",
+    lambda spark, d: rounded(context.target_stats(table(spark, d, "orders"), "o_totalprice").unionByName(context.target_stats(table(spark, d, "orders"), "o_orderstatus")).select("kind", "name", "value"), 4, "value"),
+    """SELECT 'moment' AS kind, unnest(['mean', 'std', 'min', 'max']) AS name, unnest([round(avg(o_totalprice), 4), round(stddev_samp(o_totalprice), 4), round(min(o_totalprice), 4), round(max(o_totalprice), 4)]) AS value FROM orders
+UNION ALL SELECT 'share', o_orderstatus, round(count(*) / (SELECT count(*) FROM orders), 4) FROM orders GROUP BY o_orderstatus""",
+)
+
+
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
     """A catalog that grows with the data: words of the documents serve as column names of their source."""
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))))

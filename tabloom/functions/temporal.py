@@ -8,16 +8,20 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
-# Text shape -> parse format, tried in this order.
-DATE_FORMATS = [
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "MM/dd/yyyy"),
-    (r"^[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "MM/dd/yyyy HH:mm:ss"),
-    (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd"),
-    (r"^(19|20)[0-9]{6}$", "yyyyMMdd"),
-]
+# Names of the months, in order.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_NAME = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS).replace("sep(?:tember)?", "sep(?:t(?:ember)?)?") + ")[.]?"
+# of lower-case texts: hour and minute, then perhaps seconds with a fraction, AM or PM, a zone
+_TIME = r"(?:(?:t| *, *| +)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?(?: *([ap]m))?(?: *(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2}))?)?$"
+#: Shapes of dates: pattern, and which of its three groups are year, month and day. A separator stands in a group of its own.
+SHAPES = {
+    "iso": (r"^([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})", (1, 3, 4), 4),
+    "numeric": (r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})", (4, 1, 3), 4),
+    "compact": (r"^((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})", (1, 2, 3), 3),
+    "day_name": (r"^([0-9]{1,2})[ -]" + _NAME + "[ -]([0-9]{4})", (3, 2, 1), 3),
+    "name_day": (r"^" + _NAME + " ([0-9]{1,2}),? ([0-9]{4})", (3, 1, 2), 3),
+}
+LONGEST = 48
 # Units per second of numeric epochs.
 EPOCH_UNITS = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
 
@@ -36,15 +40,55 @@ class TemporalParams:
     epoch_unit: str | None
     min_ts: datetime | None
     has_null: bool
+    day_first: bool = False
 
 
-def parse_text(text: Column) -> Column:
-    """Timestamp of a text in one of the known shapes, else null; other texts are never parsed."""
+def date_shape(text: Column) -> Column:
+    """Name of the shape a text has, null for none; texts that begin neither with a digit nor a month are not looked at."""
+    t = F.lower(F.trim(text))
+    found = F.lit(None).cast("string")
+    for name, (pattern, _, _) in reversed(SHAPES.items()):
+        found = F.when(t.rlike(pattern + _TIME), F.lit(name)).otherwise(found)
+    return F.when(F.substring(t, 1, 1).rlike("[0-9jfmasond]") & F.char_length(t).between(8, LONGEST), found)
+
+
+def parse_text(text: Column, day_first: bool = False) -> Column:
+    """Timestamp of a text in one of the known shapes, else null. Of two numbers before a year the first is the month
+    (the day with ``day_first``), unless only the other reading gives a month. Fractions of a second count to the
+    microsecond. Without a zone the time is the session's."""
+    t = F.lower(F.trim(text))
     parsed = F.lit(None).cast("timestamp")
-    for shape, fmt in reversed(DATE_FORMATS):
-        parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(parsed)
-    # all shapes start with a digit and are short; other texts skip the patterns
-    return F.when(F.substring(text, 1, 1).between("0", "9") & (F.char_length(text) <= 19), parsed)
+    for name, (pattern, (year, month, day), groups) in reversed(SHAPES.items()):
+        full = pattern + _TIME
+
+        def part(i: int, full: str = full) -> Column:
+            return F.regexp_extract(t, full, i)
+
+        if "name" in name:
+            m = F.ceil(F.instr(F.lit(",".join(x[:3] for x in MONTHS)), F.substring(part(month), 1, 3)) / 4).cast("int")
+            d = part(day).cast("int")
+        else:
+            m, d = part(month).cast("int"), part(day).cast("int")
+        if name == "numeric":
+            first, second = (d, m) if day_first else (m, d)
+            swap = (first > 12) & (second <= 12)
+            m, d = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
+        hour, minute, second, fraction, half, zone = (part(groups + 1 + k) for k in range(6))
+        h = F.coalesce(hour.try_cast("int"), F.lit(0))
+        h = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(half == "pm", 12).otherwise(0))
+        seconds = F.concat(F.when(second == "", "00").otherwise(second), F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0")).try_cast("decimal(16,6)")
+        offset = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2))).when(zone == "", F.current_timezone()).otherwise("UTC")
+        made = F.try_make_timestamp(part(year).cast("int"), m, d, h, F.coalesce(minute.try_cast("int"), F.lit(0)), seconds, offset)
+        parsed = F.when(t.rlike(full), made).otherwise(parsed)
+    return F.when(F.substring(t, 1, 1).rlike("[0-9jfmasond]") & F.char_length(t).between(8, LONGEST), parsed)
+
+
+def day_first_votes(text: Column) -> tuple[Column, Column]:
+    """Numbers of texts that can only be read day first, and only month first: they decide how a column is read."""
+    t = F.trim(text)
+    numeric = SHAPES["numeric"][0]
+    first, second = (F.regexp_extract(t, numeric, i).try_cast("int") for i in (1, 3))
+    return F.count_if((first > 12) & (second <= 12)), F.count_if((second > 12) & (first <= 12))
 
 
 def parse_epoch(value: Column, unit: str) -> Column:
@@ -53,11 +97,11 @@ def parse_epoch(value: Column, unit: str) -> Column:
     return F.when(F.abs(micros) < F.lit(2.5e17), F.timestamp_micros(micros.cast("bigint")))
 
 
-def parse(col: Column, kind: str, epoch_unit: str | None = None) -> Column:
+def parse(col: Column, kind: str, epoch_unit: str | None = None, day_first: bool = False) -> Column:
     if kind == "epoch":
         return parse_epoch(col, epoch_unit or "s")
     if kind == "string":
-        return parse_text(col)
+        return parse_text(col, day_first)
     return col.cast("timestamp")
 
 
@@ -103,7 +147,7 @@ def datetime_features(
     """All outputs for one date column. ``ts`` is the parsed timestamp if it is at hand."""
     name = params.column
     raw = source if source is not None else F.col(name)
-    ts = ts if ts is not None else parse(raw, params.kind, params.epoch_unit)
+    ts = ts if ts is not None else parse(raw, params.kind, params.epoch_unit, params.day_first)
     out: dict[str, Column] = {}
     if config.enable_components:
         out.update({f"{name}_{k}": v for k, v in components(ts).items()})

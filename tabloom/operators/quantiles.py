@@ -1,14 +1,17 @@
-"""Exact quantiles without gathering a column in one task.
-
-A Spark ``percentile`` keeps every distinct value of the column in one aggregation buffer. That is fine
-for a bounded number of rows only. Beyond the bound, an approximate quantile first brackets each wanted
-rank, one pass counts what lies below and inside the bracket, and the exact value is then taken from the
-bracket's rows alone. Brackets that are still too large are narrowed again.
+"""Exact quantiles of many columns without gathering a column in one task, in a number of passes that does not depend on
+the number of columns or quantiles.
+
+A Spark ``percentile`` keeps every distinct value of the column in one aggregation buffer. That is fine for a bounded
+number of rows only. Beyond the bound, one pass makes sketches of all columns, which bracket every wanted rank by two
+values of the column; a second one counts what lies between and on these edges, in long form; a rank on an edge is
+found then, and a third pass takes the others from the rows inside their brackets. Only a bracket that still holds more
+rows than the bound is sketched and counted again, all such brackets together.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
@@ -19,15 +22,17 @@ ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], direct_rows: int = DIRECT_ROWS, sizes: dict[str, int] | None = None
+    df: DataFrame, columns: dict[str, Column], probs: list[float] | dict[str, list[float]], direct_rows: int = DIRECT_ROWS, sizes: dict[str, int] | None = None
 ) -> dict[str, list[float] | None]:
-    """Interpolated quantiles of each named expression (nulls left out); None for an all-null one.
+    """Interpolated quantiles of each named expression (nulls left out); None for an all-null one. ``probs`` holds for all
+    columns or names each one's own.
 
     ``sizes`` are the non-null counts, where the caller knows them already.
     """
     names = list(columns)
     if not names:
         return {}
+    wanted = [probs[n] if isinstance(probs, dict) else probs for n in names]
     data = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
     if sizes is None:
         counts = data.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
@@ -36,13 +41,17 @@ def exact_quantiles(
     small = [i for i, n in enumerate(names) if 0 < sizes[n] <= direct_rows]
     for batch in _bounded(small, [sizes[n] for n in names], 4 * direct_rows):
         row = data.agg(
-            *[F.percentile(f"v{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i in batch]
+            *[F.percentile(f"v{i}", F.array(*[F.lit(float(p)) for p in wanted[i]])).alias(f"q{i}") for i in batch]
         ).first()
         for i in batch:
             result[names[i]] = list(row[f"q{i}"])
-    for i, n in enumerate(names):
-        if sizes[n] > direct_rows:
-            result[n] = [_ranked(data, f"v{i}", sizes[n], p, direct_rows) for p in probs]
+    large = {i: [p * (sizes[n] - 1) for p in wanted[i]] for i, n in enumerate(names) if sizes[n] > direct_rows}
+    ranks = {i: sorted({r for p in at for r in (math.floor(p), math.ceil(p))}) for i, at in large.items()}
+    values = _order_statistics(data, {i: sizes[names[i]] for i in large}, ranks, direct_rows)
+    for i, positions in large.items():
+        low = [values[i, math.floor(p)] for p in positions]
+        high = [values[i, math.ceil(p)] for p in positions]
+        result[names[i]] = [a + (p - math.floor(p)) * (b - a) if b > a else a for p, a, b in zip(positions, low, high, strict=True)]
     return result
 
 
@@ -59,60 +68,83 @@ def _bounded(columns: list[int], sizes: list[int], rows: int) -> list[list[int]]
     return groups
 
 
-def _ranked(data: DataFrame, col: str, n: int, prob: float, direct_rows: int) -> float:
-    position = prob * (n - 1)
-    low_rank, high_rank = math.floor(position), math.ceil(position)
-    low, high, below, inside = None, None, 0, n
-    distinct_inside = n
-    while distinct_inside > direct_rows:
-        part = data.where(_within(col, low, high))
-        margin = 2.0 / ACCURACY
-        wanted = [
-            max(0.0, (low_rank - below) / inside - margin),
-            min(1.0, (high_rank - below + 1) / inside + margin),
-        ]
-        edges = part.agg(F.percentile_approx(col, F.array(*[F.lit(w) for w in wanted]), F.lit(ACCURACY)).alias("e")).first()[0]
-        new_low = edges[0] if wanted[0] > 0.0 else low
-        new_high = edges[1] if wanted[1] < 1.0 else high
-        if (new_low, new_high) == (low, high):
-            break
-        stats = data.agg(
-            F.count_if(F.col(col) < F.lit(new_low)).alias("below") if new_low is not None else F.lit(0).alias("below"),
-            F.count_if(_within(col, new_low, new_high)).alias("inside"),
-            F.approx_count_distinct(F.when(_within(col, new_low, new_high), F.col(col))).alias("distinct"),
-        ).first()
-        if not (stats["below"] <= low_rank and high_rank < stats["below"] + stats["inside"]):
-            break  # the approximation missed: take the exact value from the last bracket that holds it
-        if stats["inside"] == inside:
-            break
-        low, high, below, inside, distinct_inside = new_low, new_high, stats["below"], stats["inside"], stats["distinct"]
-    part = data.where(_within(col, low, high))
-    if distinct_inside > direct_rows:
-        return _ranked_by_sort(part, col, low_rank - below, high_rank - below, position - low_rank)
-    share = (position - below) / (inside - 1) if inside > 1 else 0.0
-    return part.agg(F.percentile(col, F.lit(share))).first()[0]
-
-
-def _within(col: str, low: float | None, high: float | None) -> Column:
-    cond = F.col(col).isNotNull()
-    if low is not None:
-        cond = cond & (F.col(col) >= F.lit(low))
-    if high is not None:
-        cond = cond & (F.col(col) <= F.lit(high))
-    return cond
-
-
-def _ranked_by_sort(part: DataFrame, col: str, low: int, high: int, fraction: float) -> float:
-    """Ranks in a bracket that could not be narrowed: a distributed sort of its value counts."""
-    from tabloom.operators.ordered import running_sum
-
-    counts = part.groupBy(col).agg(F.count("*").alias("cnt"))
-    ranked = running_sum(counts, [], [col], "cnt", "upto", bound=0)
-    row = ranked.agg(
-        F.min(F.when(F.col("upto") > F.lit(low), F.col(col))).alias("a"),
-        F.min(F.when(F.col("upto") > F.lit(high), F.col(col))).alias("b"),
-    ).first()
-    return row["a"] + fraction * (row["b"] - row["a"])
+@dataclass
+class _Bracket:
+    """Ranks (from 0) of a column that lie among its ``count`` values strictly between low and high; ``base`` are below."""
+
+    column: int
+    low: float | None
+    high: float | None
+    base: int
+    count: int
+    ranks: list[int]
+
+    def inside(self) -> Column:
+        v = F.col(f"v{self.column}")
+        cond = v.isNotNull()
+        if self.low is not None:
+            cond = cond & (v > F.lit(self.low))
+        if self.high is not None:
+            cond = cond & (v < F.lit(self.high))
+        return cond
+
+
+def _order_statistics(data: DataFrame, sizes: dict[int, int], ranks: dict[int, list[int]], direct_rows: int) -> dict[tuple[int, int], float]:
+    """(column, rank) -> value."""
+    found: dict[tuple[int, int], float] = {}
+    brackets = [_Bracket(i, None, None, 0, n, ranks[i]) for i, n in sizes.items() if ranks[i]]
+    while brackets:
+        small = [b for b in brackets if b.count <= direct_rows]
+        if small:
+            _from_inside(data, small, found)
+        large = [b for b in brackets if b.count > direct_rows]
+        brackets = _narrowed(data, large, found) if large else []
+    return found
+
+
+def _narrowed(data: DataFrame, brackets: list[_Bracket], found: dict[tuple[int, int], float]) -> list[_Bracket]:
+    """Sketch and count all brackets; ranks on an edge are found, the others come in narrower brackets."""
+    margin = 2.0 / ACCURACY
+    sketches = []
+    for k, b in enumerate(brackets):
+        shares = sorted({min(1.0, max(0.0, (r - b.base) / b.count + m)) for r in b.ranks for m in (-margin, margin)})
+        sketches.append(F.percentile_approx(F.when(b.inside(), F.col(f"v{b.column}")), F.array(*[F.lit(x) for x in shares]), F.lit(ACCURACY)).alias(f"e{k}"))
+    row = data.agg(*sketches).first()
+    edges = [sorted(set(row[f"e{k}"])) for k in range(len(brackets))]
+    cells = []
+    for k, b in enumerate(brackets):
+        v = F.col(f"v{b.column}")
+        place = F.lit(0)  # 2 j + 1 on edge j, 2 j just below it
+        for e in edges[k]:
+            place = place + (v >= F.lit(e)).cast("int") + (v > F.lit(e)).cast("int")
+        cells.append(F.when(b.inside(), F.struct(F.lit(k).alias("k"), place.alias("place"))))
+    counted = data.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.place").agg(F.count("*").alias("n")).collect()
+    counts = {(r["k"], r["place"]): r["n"] for r in counted}
+    out = []
+    for k, b in enumerate(brackets):
+        base = b.base
+        for place in range(2 * len(edges[k]) + 1):
+            n = counts.get((k, place), 0)
+            here = [r for r in b.ranks if base <= r < base + n]
+            j = place // 2
+            if here and place % 2:
+                found.update({(b.column, r): edges[k][j] for r in here})
+            elif here:
+                out.append(_Bracket(b.column, edges[k][j - 1] if j else b.low, edges[k][j] if j < len(edges[k]) else b.high, base, n, here))
+            base += n
+    return out
+
+
+def _from_inside(data: DataFrame, brackets: list[_Bracket], found: dict[tuple[int, int], float]) -> None:
+    """Ranks of brackets that are small enough to be ordered, each in a task of its own."""
+    cells = [F.when(b.inside(), F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("v"))) for k, b in enumerate(brackets)]
+    counts = data.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.v").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))  # at most direct_rows rows each
+    asked = F.create_map(*[x for k, b in enumerate(brackets) for x in (F.lit(k), F.array(*[F.lit(r - b.base) for r in b.ranks]))])
+    hit = upto.withColumn("ranks", F.filter(F.element_at(asked, F.col("k")), lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).where(F.size("ranks") > 0)
+    for row in hit.collect():
+        b = brackets[row["k"]]
+        found.update({(b.column, b.base + r): row["v"] for r in row["ranks"]})
 
 
 def exact_medians(

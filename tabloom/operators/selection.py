@@ -10,6 +10,8 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tabloom.functions.hashing import hash32
@@ -63,31 +65,46 @@ def variance_filter(df: DataFrame, features: list[str], threshold: float = 0.01)
     return variances(df, features).where(F.col("variance") > threshold).select("feature", "position", "variance")
 
 
-PAIR_BATCH = 60
+#: Columns whose products are summed up in one pass; the driver then holds (6 * GROUP)**2 numbers at most.
+GROUP = 200
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
     """Pearson matrix, k x k for k features on the driver; a pair counts the rows in which both values are there. NaN where
-    a feature is constant. Without nulls one pass over the rows, else an aggregate per PAIR_BATCH pairs."""
+    a feature is constant. Up to GROUP features take two passes with nulls or without: one for their presence and scale,
+    one for the products. More features take a pass of products per pair of groups."""
     values = df.select(*[to_numeric(F.col(f"`{f}`")).alias(f"f{i}") for i, f in enumerate(features)])
-    present = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in values.columns]).first()
-    if all(present[c] == present["rows"] for c in values.columns):
+    facts = values.agg(F.count(F.lit(1)).alias("rows"), *[e for c in values.columns for e in (F.count(c).alias(c), F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}"))]).first()
+    if all(facts[c] == facts["rows"] for c in values.columns):
         vectors = VectorAssembler(inputCols=values.columns, outputCol="v").transform(values).select("v")
         return Correlation.corr(vectors, "v").head()[0].toArray()
+    scaled = values.select(*[((F.col(c) - F.lit(facts[f"m{c}"] or 0.0)) / F.lit(facts[f"s{c}"] or 1.0)).alias(c) for c in values.columns])
     matrix = np.eye(len(features))
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    for at in range(0, len(pairs), PAIR_BATCH):
-        row = values.agg(*[_pair_correlation(f"f{i}", f"f{j}").alias(f"r{i}_{j}") for i, j in pairs[at : at + PAIR_BATCH]]).first()
-        for i, j in pairs[at : at + PAIR_BATCH]:
-            matrix[i, j] = matrix[j, i] = np.nan if row[f"r{i}_{j}"] is None else row[f"r{i}_{j}"]
+    starts = list(range(0, len(features), GROUP))
+    groups = [list(range(a, min(a + GROUP, len(features)))) for a in starts]
+    for x, left in enumerate(groups):
+        for y in range(x, len(groups)) if len(groups) == 1 else range(x + 1, len(groups)):
+            columns = left + [c for c in groups[y] if c not in left]
+            matrix[np.ix_(columns, columns)] = _masked_correlations(scaled, [f"f{i}" for i in columns])
     return matrix
 
 
-def _pair_correlation(a: str, b: str) -> Column:
-    """Over the rows in which neither is null; null where one is constant there."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+def _masked_correlations(values: DataFrame, columns: list[str]) -> np.ndarray:
+    """Correlations over complete pairs from one Gramian of (values with 0 for null, their squares, presence): its blocks
+    are the products, and for every pair the counts, sums and sums of squares over the rows that have both."""
+    k = len(columns)
+    filled = [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
+    wide = values.select(*[e.alias(f"x{i}") for i, e in enumerate(filled)], *[(e * e).alias(f"q{i}") for i, e in enumerate(filled)], *[F.col(c).isNotNull().cast("double").alias(f"p{i}") for i, c in enumerate(columns)])
+    vectors = VectorAssembler(inputCols=wide.columns, outputCol="z").transform(wide).select("z")
+    g = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "z")).computeGramianMatrix().toArray()
+    products, sums, squares, n = g[:k, :k], g[:k, 2 * k :], g[k : 2 * k, 2 * k :], g[2 * k :, 2 * k :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - sums**2 / n  # of the row's feature, over the rows that have the column's feature too
+        constant = ~(spread > 1e-12 * squares)
+        r = (products - sums * sums.T / n) / np.sqrt(spread * spread.T)
+    r[constant | constant.T] = np.nan
+    np.fill_diagonal(r, 1.0)
+    return np.clip(r, -1.0, 1.0)
 
 
 def correlated_columns(matrix: np.ndarray, features: list[str], threshold: float = 0.95) -> list[str]:

@@ -27,7 +27,7 @@ class CategoricalConfig:
     enable_rarity: bool = True
     min_frequency: int = 2
     max_categories: int = 50
-    limit_codes: bool = True
+    limit_codes: bool = False
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from tabloom.functions.hashing import bucket
 from tabloom.functions.numeric import (
     NumericConfig, NumericParams, equal_width_edges, filled_value, numeric_features, quantile_edges, to_numeric, usable_edges,
 )
-from tabloom.functions.temporal import DateTimeConfig, TemporalParams, datetime_features, parse
+from tabloom.functions.temporal import DateTimeConfig, TemporalParams, datetime_features, day_first_votes, parse
 from tabloom.functions.text import TextConfig, TextParams, text_features
 from tabloom.operators import tfidf, vocab as vocabulary
 from tabloom.operators.folds import broadcast_if_small
@@ -131,7 +131,7 @@ class FeatureEngine(Estimator):
                     F.min(to_numeric(F.col(c))).alias(f"min{i}"), F.max(to_numeric(F.col(c))).alias(f"max{i}"),
                 )]
             ).first().asDict()
-        out = {}
+        facts, bins = {}, {}
         for c in columns:
             r = rows[c]
             if c in textual:
@@ -145,9 +145,14 @@ class FeatureEngine(Estimator):
                 edges = usable_edges(equal_width_edges(low, high, r["distinct"], cfg.n_bins))
                 if not edges:
                     k = min(cfg.n_bins, max(2, r["distinct"]))
-                    found = exact_quantiles(df, {c: to_numeric(F.col(c))}, [i / k for i in range(k + 1)])[c]
-                    edges = usable_edges(quantile_edges(found)) if found else ()
-            out[c] = NumericParams(c, medians[c], mean, std, low, high, low is not None and low > 0, r["nulls"] > 0, edges)
+                    bins[c] = [i / k for i in range(k + 1)]
+            facts[c] = (mean, std, low, high, edges)
+        found = exact_quantiles(df, {c: to_numeric(F.col(c)) for c in bins}, bins)
+        out = {}
+        for c, (mean, std, low, high, edges) in facts.items():
+            if found.get(c):
+                edges = usable_edges(quantile_edges(found[c]))
+            out[c] = NumericParams(c, medians[c], mean, std, low, high, low is not None and low > 0, rows[c]["nulls"] > 0, edges)
         return out
 
     def _fit_temporal(self, df: DataFrame, columns: list[str], rows: dict) -> dict[str, TemporalParams]:
@@ -155,11 +160,16 @@ class FeatureEngine(Estimator):
             return {}
         kinds = {c: "epoch" if rows[c]["kind"] == "numeric" else "string" if rows[c]["kind"] == "string" else "timestamp" for c in columns}
         units = {c: rows[c]["epoch_unit"] or "s" for c in columns}
-        lows = df.agg(*[F.min(parse(F.col(c), kinds[c], units[c])).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-        return {
-            c: TemporalParams(c, kinds[c], units[c] if kinds[c] == "epoch" else None, lows[f"m{i}"], rows[c]["nulls"] > 0)
-            for i, c in enumerate(columns)
-        }
+        # texts are read both ways in the one pass; the column's own values decide which way holds
+        lows = df.agg(*[e for i, c in enumerate(columns) for e in (
+            F.min(parse(F.col(c), kinds[c], units[c])).alias(f"m{i}"),
+            *([F.min(parse(F.col(c), "string", None, True)).alias(f"d{i}"), *(v.alias(f"{w}{i}") for w, v in zip("ab", day_first_votes(F.col(c))))] if kinds[c] == "string" else []),
+        )]).first().asDict()
+        out = {}
+        for i, c in enumerate(columns):
+            day_first = kinds[c] == "string" and lows[f"a{i}"] > lows[f"b{i}"]
+            out[c] = TemporalParams(c, kinds[c], units[c] if kinds[c] == "epoch" else None, lows[f"d{i}" if day_first else f"m{i}"], rows[c]["nulls"] > 0, day_first)
+        return out
 
     def _fit_categories(self, df: DataFrame, columns: list[str], rows: dict) -> tuple[dict[str, CategoryParams], DataFrame | None]:
         if not columns:
@@ -218,9 +228,15 @@ class FeatureEngine(Estimator):
             for c in columns
         }
 
-    def fit_transform(self, df: DataFrame) -> tuple[FeatureModel, DataFrame]:
+    def fit_transform(self, df: DataFrame, key: str | None = None) -> tuple[FeatureModel, DataFrame]:
+        """Target encodings of the training rows come from the other folds; ``key`` (kept in the result) deals the folds."""
         model = self.fit(df)
-        return model, model.transform(df)
+        features = model.transform(df)
+        if self.config.categorical.encoding_method != "target" or not model.categories:
+            return model, features
+        if key is None or key not in features.columns:
+            raise ValueError("target encodings of training rows need a key among the kept columns")
+        return model, model.encode_out_of_fold(df, features, key)
 
 
 class FeatureModel(Model):
@@ -336,7 +352,7 @@ class FeatureModel(Model):
                 )
         # values all features of a column share are computed once, in a projection of their own
         shared = {f"__n_{c}": filled_value(p) for c, p in self.numeric.items() if c in sources}
-        shared.update({f"__t_{c}": parse(F.col(c), p.kind, p.epoch_unit) for c, p in self.temporal.items() if c in sources})
+        shared.update({f"__t_{c}": parse(F.col(c), p.kind, p.epoch_unit, p.day_first) for c, p in self.temporal.items() if c in sources})
         df = df.withColumns(shared) if shared else df
         for c, terms in self.terms.items():
             if c in sources and terms:
@@ -363,7 +379,9 @@ class FeatureModel(Model):
             # adaptive execution splits the partition of a hot value
             match = F.col(f"__c_{c}").eqNullSafe(F.col("__value")) & (F.col("__fold") == F.col("__f"))
             rows = rows.join(broadcast_if_small(encoded), match, "left").drop("__value", "__f")
-        made = rows.select(key, *[F.coalesce(f"{c}_target", F.lit(0.0)).alias(f"{c}_target") for c in self.categories])
+        # a value that no other fold has gets what the transform gives an unknown one
+        gaps = {c: F.when(F.col(f"__c_{c}").isNull(), F.lit(p.null_mean)).otherwise(F.lit(p.rest_mean)) for c, p in self.categories.items()}
+        made = rows.select(key, *[F.coalesce(F.col(f"{c}_target"), gaps[c], F.lit(0.0)).alias(f"{c}_target") for c in self.categories])
         return features.drop(*[f"{c}_target" for c in self.categories]).join(made, key, "left")
 
     # -- persistence ----------------------------------------------------------------------------
@@ -373,7 +391,7 @@ class FeatureModel(Model):
         state = {
             "config": asdict(self.config), "target": self.target, "columns": self.columns, "roles": self.roles,
             "numeric": {c: asdict(p) for c, p in self.numeric.items()},
-            "temporal": {c: {**asdict(p), "min_ts": p.min_ts.isoformat() if p.min_ts else None} for c, p in self.temporal.items()},
+            "temporal": {c: {**asdict(p), "min_ts": round(p.min_ts.timestamp() * 1_000_000) if p.min_ts else None} for c, p in self.temporal.items()},
             "categories": {c: asdict(p) for c, p in self.categories.items()},
             "texts": {c: asdict(p) for c, p in self.texts.items()},
             "terms": self.terms, "pairs": self.pairs, "fills": self.fills, "available": self.available, "selected": self.selected,
@@ -396,7 +414,8 @@ class FeatureModel(Model):
             DateTimeConfig(**c["datetime"]), tuple(tuple(p) for p in c["interactions"]), tuple(c["specs"]), c["type_hints"],
             tuple(c["keep"]), c["exclude_ids"], c["compat"], c["exact_distinct"], c["broadcast_bytes"],
         )
-        stamp = lambda v: datetime.fromisoformat(v) if v else None
+        # microseconds since 1970 in UTC, so that the instant is the same wherever the model is loaded
+        stamp = lambda v: None if v is None else datetime.fromtimestamp(v // 1_000_000).replace(microsecond=v % 1_000_000)
         return FeatureModel(
             config, s["target"], s["columns"], s["roles"],
             {k: NumericParams(**{**p, "bin_edges": tuple(p["bin_edges"])}) for k, p in s["numeric"].items()},

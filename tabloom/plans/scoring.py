@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -30,6 +30,12 @@ def score(features: DataFrame, names: list[str], model: Model, transform: Target
     return scored.withColumn("confidence", confidence(scored)).drop("features", "rawPrediction", "probability")
 
 
+def class_names(scored: DataFrame, names: list[str]) -> DataFrame:
+    """``prediction`` as the name of the class whose code it was."""
+    named = IndexToString(inputCol="prediction", outputCol="__class", labels=names).transform(scored)
+    return named.withColumn("prediction", F.col("__class")).drop("__class")
+
+
 @dataclass
 class Scorer:
     """A fitted feature model with a fitted predictor."""
@@ -37,21 +43,25 @@ class Scorer:
     features: FeatureModel
     model: Model
     transform: TargetTransform | None = None
+    names: list[str] | None = None  # of the classes, in the order of their codes
 
     def score(self, raw: DataFrame) -> DataFrame:
-        return score(self.features.transform(raw), self.features.feature_names, self.model, self.transform)
+        """``prediction`` is the class itself where the scorer knows the classes."""
+        scored = score(self.features.transform(raw), self.features.feature_names, self.model, self.transform)
+        return class_names(scored, self.names) if self.names else scored
 
     def submit(self, raw: DataFrame, fmt: output.OutputFormat) -> DataFrame:
         return output.format_predictions(self.score(raw), fmt, F.col("prediction"), F.col("confidence"))
 
     def save(self, path: str, run_id: str, spark: SparkSession) -> None:
         self.features.save(f"{path}/run={run_id}/features", spark)
-        PipelineModel([self.model]).write().overwrite().save(f"{path}/run={run_id}/model")
+        named = [IndexToString(inputCol="prediction", outputCol="class", labels=self.names)] if self.names else []
+        PipelineModel([self.model, *named]).write().overwrite().save(f"{path}/run={run_id}/model")
 
     @staticmethod
     def load(path: str, run_id: str, spark: SparkSession) -> Scorer:
-        model = PipelineModel.load(f"{path}/run={run_id}/model")
-        return Scorer(FeatureModel.load(f"{path}/run={run_id}/features", spark), model.stages[0])
+        model, *named = PipelineModel.load(f"{path}/run={run_id}/model").stages
+        return Scorer(FeatureModel.load(f"{path}/run={run_id}/features", spark), model, names=named[0].getLabels() if named else None)
 
 
 def register_run(spark: SparkSession, path: str, run_id: str, model: str) -> None:

@@ -17,6 +17,10 @@ from tabloom.operators.infer import problem_type
 from tabloom.session import cut_lineage
 
 
+# Fixed value: more features than this are not eliminated one by one; the report says so.
+MAX_ITERATIVE = 100
+
+
 @dataclass(frozen=True)
 class SelectionConfig:
     max_features: int = 100
@@ -176,7 +180,9 @@ def select_features(
         best = sorted(rows, key=lambda r: (-r[2], r[0]))[: config.max_features]
         picks.append(("model_based", [f for f, _, _ in best]))
         scores.append(spark.createDataFrame([("model_based", *r) for r in rows], "method string, feature string, position int, score double"))
-    if config.enable_iterative and len(left) <= 100:
+    if config.enable_iterative and len(left) > MAX_ITERATIVE:
+        steps.append(("iterative_skipped", len(left), len(left)))
+    elif config.enable_iterative:
         hashed = hash32(key) if key else F.xxhash64(*left) % 3 + 3
         folded = clean.withColumn("fold", (F.abs(hashed) % 3).cast("int"))
         picks.append(("iterative", recursive_elimination(folded, left, target, problem, step=config.elimination_step)))
@@ -185,7 +191,10 @@ def select_features(
         ranked = ops.rank_normalised(ops.union_all(scores)).where(F.col("feature").isin(final))
         top = {r["feature"] for r in ops.select_k_best(ranked, config.max_features).collect()}
         final = [f for f in final if f in top]
-    final = final[: config.max_features] if not scores else final
+    elif len(final) > config.max_features:  # no method gave scores: the features that vary most
+        spread = ops.variances(clean, final).orderBy(F.desc_nulls_last("variance"), "position").limit(config.max_features)
+        top = {r["feature"] for r in spread.collect()}
+        final = [f for f in final if f in top]
     steps.append(("combination", len(left), len(final)))
     empty = spark.createDataFrame([], "method string, feature string, position int, score double")
     return SelectionResult(final, ops.selection_report(spark, steps), ops.union_all(scores) if scores else empty, problem)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 import random
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -18,6 +21,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tabloom.session import cut_lineage, spread
@@ -173,7 +177,7 @@ class Budget:
 
 
 def search_budget(rows: int) -> Budget:
-    """Trials and seconds of a search: small tables get fewer trials. A search always reads all rows."""
+    """Trials and seconds for `search_within`: small tables get fewer trials. A search always reads all rows."""
     for limit, trials, seconds in SMALL_BUDGETS:
         if 0 < rows <= limit:
             return Budget(trials, seconds, *SMALL_BOOSTING[trials])
@@ -276,6 +280,94 @@ def search(
     return best
 
 
+#: Shares of a trial's trees or rounds at which successive halving looks at it, and of the trials that go on each time.
+RUNGS, KEPT = (1 / 9, 1 / 3, 1.0), 1 / 3
+
+
+class Deadline:
+    """Jobs started under it carry its tag; when the time is up they are cancelled and no further ones are started."""
+
+    def __init__(self, spark: SparkSession, seconds: float):
+        self.sc, self.tag = spark.sparkContext, f"deadline-{uuid.uuid4().hex}"
+        self.end = time.monotonic() + seconds
+        self._done = threading.Event()
+        self._watch = threading.Thread(target=self._cancel, daemon=True)
+
+    def _cancel(self) -> None:
+        """From the deadline on, again and again: a fit is many jobs, and the next one may start between two looks."""
+        self._done.wait(max(self.end - time.monotonic(), 0))
+        while not self._done.wait(0.2):
+            self.sc.cancelJobsWithTag(self.tag)
+
+    def __enter__(self) -> Deadline:
+        self._watch.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._done.set()
+
+    @property
+    def over(self) -> bool:
+        return time.monotonic() >= self.end
+
+    def run(self, work: Callable):
+        """The work's result, or None if the time ran out before or during it."""
+        if self.over:
+            return None
+        self.sc.addJobTag(self.tag)
+        try:
+            return work()
+        except Exception:
+            if self.over:
+                return None
+            raise
+        finally:
+            self.sc.removeJobTag(self.tag)
+
+
+def search_within(
+    data: DataFrame, name: str, problem: str, trials: int, seconds: float, folds: int | None = None, seed: int = 42, classes: int = 2, workers: int = 2,
+) -> CvResult:
+    """Random search by successive halving under a deadline; every trial reads all rows and all folds.
+
+    All trials of a forest or a boosting run with a ninth of their trees or rounds first, the best third goes on to a third,
+    the best third of those to all; other models have one rung. At the deadline running trials are cancelled. The result is the
+    best trial of the highest rung that any trial finished, with its parameters at full size; its status counts what
+    happened. If no trial finished at all, the default parameters are scored, deadline or not.
+    """
+    sized = "n_estimators" in SEARCH_SPACES.get(name, {})
+    drawn = draw_params(name, trials, seed)
+    left, best, failures, unfinished, finished = list(enumerate(drawn)), None, [], 0, 0
+    with Deadline(data.sparkSession, seconds) as deadline:
+
+        def attempt(item: tuple[int, dict, float]) -> CvResult | None:
+            number, params, share = item
+            now = {**params, "n_estimators": max(1, round(params["n_estimators"] * share))} if sized else params
+            try:
+                found = deadline.run(lambda: cross_validate(data, name, problem, folds, now, classes))
+            except Exception as problem_found:  # a trial's own failure must not end the search; it is recorded
+                return CvResult(name, [], params, status=f"{type(problem_found).__name__}: {problem_found}"[:300])
+            return found and CvResult(name, found.scores, params)
+
+        for share in RUNGS if sized else (1.0,):
+            tried = _in_threads(data.sparkSession, attempt, [(n, p, share) for n, p in left], workers)
+            done = [(item, r) for item, r in zip(left, tried, strict=True) if r is not None and r.scores]
+            failures += [r.status for r in tried if r is not None and not r.scores]
+            unfinished, finished = unfinished + sum(r is None for r in tried), finished + len(done)
+            if not done:
+                break
+            done.sort(key=lambda d: (-d[1].mean, d[0][0]))
+            best = done[0][1]
+            left = [item for item, _ in done[: max(1, math.ceil(len(done) * KEPT))]]
+            if deadline.over:
+                break
+    best = best or cross_validate(data, name, problem, folds, None, classes)
+    best.tuned = finished > 0
+    notes = [f"{finished} runs"] + ([f"{len(failures)} failed, last: {failures[-1]}"] if failures else []) + ([f"{unfinished} cut by the deadline"] if unfinished else [])
+    best.status = "ok, " + ", ".join(notes)
+    return best
+
+
 def _in_threads(spark: SparkSession, run: Callable, items: list, workers: int) -> list:
     if workers <= 1 or len(items) <= 1:
         return [run(i) for i in items]
@@ -288,14 +380,18 @@ def _in_threads(spark: SparkSession, run: Callable, items: list, workers: int) -
 
 def run_candidates(
     data: DataFrame, names: list[str], problem: str, folds: int | None = None, tune: list[str] | None = None, trials: int = 10,
-    classes: int = 2, workers: int = 3, params: dict[str, dict] | None = None,
+    classes: int = 2, workers: int = 3, params: dict[str, dict] | None = None, budget: Budget | None = None,
 ) -> list[CvResult]:
-    """Cross-validate (and search) all candidates concurrently, each in its own scheduler pool."""
+    """Cross-validate (and search) all candidates concurrently, each in its own scheduler pool (they share the cluster
+    evenly under ``spark.scheduler.mode=FAIR``). With a budget, searches take its trials and keep its deadlines."""
     sc = data.sparkSession.sparkContext
 
     def run(name: str) -> CvResult:
         sc.setLocalProperty("spark.scheduler.pool", name)
         try:
+            if tune and name in tune and budget:
+                own = (budget.boosting_trials, budget.boosting_seconds) if name == BOOSTING else (budget.trials, budget.seconds)
+                return search_within(data, name, problem, *own, folds, classes=classes, workers=1)
             if tune and name in tune:
                 return search(data, name, problem, trials, folds, classes=classes, workers=1)
             return cross_validate(data, name, problem, folds, (params or {}).get(name), classes)
@@ -350,16 +446,15 @@ def out_of_fold(data: DataFrame, members: list[CvResult], problem: str, classes:
     return result
 
 
-@dataclass
-class StackedModel:
-    """Base models chained on the same rows, then the meta-learner."""
+class StackedModel(Model, MLWritable, MLReadable):
+    """Base models chained on the same rows, then the meta-learner. A stage like any other: it can stand in a
+    PipelineModel and is written and read with it."""
 
-    bases: list[Model]
-    meta: Model
-    problem: str
-    classes: int
+    def __init__(self, bases: list[Model], meta: Model, problem: str, classes: int):
+        super().__init__()
+        self.bases, self.meta, self.problem, self.classes = bases, meta, problem, classes
 
-    def transform(self, data: DataFrame) -> DataFrame:
+    def _transform(self, data: DataFrame) -> DataFrame:
         columns = data.columns
         for i, base in enumerate(self.bases):
             data = _predict_into(base, data, f"m{i}", self.problem, self.classes)
@@ -368,6 +463,36 @@ class StackedModel:
         extra = ["probability"] if "probability" in scored.columns else []
         return scored.select(*columns, "prediction", *extra)
 
+    def write(self) -> MLWriter:
+        return _StackWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StackReader()
+
+
+class _StackWriter(MLWriter):
+    """The stack's own facts as stage metadata, each model in a folder of its own."""
+
+    def __init__(self, stack: StackedModel):
+        super().__init__()
+        self.stack = stack
+
+    def saveImpl(self, path: str) -> None:
+        facts = {"problem": self.stack.problem, "classes": self.stack.classes, "members": len(self.stack.bases)}
+        DefaultParamsWriter.saveMetadata(self.stack, path, self.sparkSession, extraMetadata=facts)
+        for i, model in enumerate([*self.stack.bases, self.stack.meta]):
+            model.write().save(f"{path}/stages/{i}")
+
+
+class _StackReader(MLReader):
+    def load(self, path: str) -> StackedModel:
+        facts = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        *bases, meta = [DefaultParamsReader.loadParamsInstance(f"{path}/stages/{i}", self.sparkSession) for i in range(facts["members"] + 1)]
+        stack = StackedModel(bases, meta, facts["problem"], facts["classes"])
+        stack._resetUid(facts["uid"])
+        return stack
+
 
 def fit_stack(data: DataFrame, members: list[CvResult], problem: str, classes: int = 2) -> StackedModel:
     metas = _meta_columns(members, classes, problem)

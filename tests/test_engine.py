@@ -127,7 +127,7 @@ def test_save_and_load(spark, model, train, tmp_path):
 def test_many_categories_share_other(spark):
     df = spark.createDataFrame([(i, f"c{i % 80}") for i in range(800)], "k int, c string")
     hints = {"c": "categorical"}
-    limited = engine.FeatureEngine(engine.EngineConfig(keep=("k",), type_hints=hints, categorical=CategoricalConfig(max_categories=10))).fit(df)
+    limited = engine.FeatureEngine(engine.EngineConfig(keep=("k",), type_hints=hints, categorical=CategoricalConfig(max_categories=10, limit_codes=True))).fit(df)
     out = limited.transform(df)
     assert out.select("c_encoded").distinct().count() == 10
     full = engine.FeatureEngine(
@@ -185,7 +185,7 @@ def test_a_real_value_named_other_keeps_the_rows(spark):
 def test_target_means_of_the_tail_unseen_and_null_values(spark):
     rows = [(i, "big", 100.0) for i in range(40)] + [(100 + i, f"t{i}", 10.0 + i) for i in range(20)] + [(200 + i, None, 7.0) for i in range(4)]
     df = spark.createDataFrame(rows, "id bigint, c string, y double")
-    config = engine.EngineConfig(keep=("id",), type_hints={"c": "categorical"}, categorical=CategoricalConfig(encoding_method="target", max_categories=2))
+    config = engine.EngineConfig(keep=("id",), type_hints={"c": "categorical"}, categorical=CategoricalConfig(encoding_method="target", max_categories=2, limit_codes=True))
     model = engine.FeatureEngine(config, target="y").fit(df)
     later = spark.createDataFrame([(1, "big"), (2, "t3"), (3, "never seen"), (4, None)], "id bigint, c string")
     got = {r["id"]: r["c_target"] for r in model.transform(later).collect()}

@@ -90,6 +90,22 @@ def test_dates_of_all_shapes_parse(spark):
     assert got == ["2020-02-29"] * 5 + [None, None]
 
 
+def test_fractions_zones_minutes_and_month_names(spark):
+    cases = {
+        "2020-02-29T01:02:03.5": "2020-02-29 01:02:03.500000", "2020-02-29 01:02:03.123456789": "2020-02-29 01:02:03.123456", "2020-02-29T01:02:03Z": "2020-02-29 01:02:03.000000",
+        "2020-02-29T01:02:03.25+02:30": "2020-02-28 22:32:03.250000", "2020-02-29 01:02:03 -0800": "2020-02-29 09:02:03.000000", "2020-02-29 01:02": "2020-02-29 01:02:00.000000",
+        "02/29/2020 13:45": "2020-02-29 13:45:00.000000", "2/9/2020 1:05 PM": "2020-02-09 13:05:00.000000", "12/31/1999 12:00:01 am": "1999-12-31 00:00:01.000000", "29 Feb 2020": "2020-02-29 00:00:00.000000",
+        "29-FEB-2020": "2020-02-29 00:00:00.000000", "February 29, 2020": "2020-02-29 00:00:00.000000", "Sept 3, 2021 10:00": "2021-09-03 10:00:00.000000", "may 5 2021": "2021-05-05 00:00:00.000000",
+        "2020/02/29 05:06:07": "2020-02-29 05:06:07.000000", "2020.2.9": "2020-02-09 00:00:00.000000", "25/12/2020": "2020-12-25 00:00:00.000000", "03.04.2020": "2020-03-04 00:00:00.000000", " 2020-01-02 ": "2020-01-02 00:00:00.000000",
+        "2020-01/02": None, "31 Feb 2020": None, "13/13/2020": None, "2020-02-29 25:00": None, "2020-02-29 01:02:03 Mars": None, "march of 2020": None, "1.2.3": None, "20201301": None, "12/31/1999 13:00 pm": None, "": None,
+    }
+    got = values(spark, F.date_format(temporal.parse_text(F.col("x")), "yyyy-MM-dd HH:mm:ss.SSSSSS"), [(c,) for c in cases], "x string")
+    assert dict(zip(cases, got)) == cases
+    swapped = values(spark, F.date_format(temporal.parse_text(F.col("x"), True), "yyyy-MM-dd"), [("03.04.2020",), ("12/25/2020",), ("2020-03-04",)], "x string")
+    assert swapped == ["2020-04-03", "2020-12-25", "2020-03-04"]
+    assert values(spark, temporal.date_shape(F.col("x")), [("29 Feb 2020",), ("may 5 2021 10:00",), ("2020-01-01",), ("1/2/2020",), ("20200101",), ("x",), (None,)], "x string") == ["day_name", "name_day", "iso", "numeric", "compact", None, None]
+
+
 @pytest.mark.parametrize("unit,value", [("s", 1577836800), ("ms", 1577836800000), ("us", 1577836800000000), ("ns", 1577836800000000000)])
 def test_epochs_of_all_units_parse(spark, unit, value):
     assert values(spark, F.year(temporal.parse(F.col("x"), "epoch", unit)), [(value,)], "x bigint") == [2020]

@@ -139,3 +139,53 @@ def test_spread_only_touches_few_partition_scans(spark, sf, skewed):
     assert spread(grouped) is grouped
     wide = spark.range(0, 100, 1, 64)
     assert spread(wide) is wide
+
+
+def _jobs(spark, group, work):
+    """Number of Spark jobs that a piece of work starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        result = work()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_passes_do_not_grow_with_columns_and_quantiles(spark, skewed):
+    base = skewed.select("id", "v", *[((F.col("v") * (i + 3)) % 701 + F.col("id") / 9000).alias(f"c{i}") for i in range(11)]).repartition(4).persist()
+    base.count()
+    one = {"c0": F.col("c0")}
+    many = {f"c{i}": F.col(f"c{i}") for i in range(11)} | {"v": F.when(F.col("id") % 7 > 0, F.col("v"))}
+    _, few = _jobs(spark, "few", lambda: exact_quantiles(base, one, [0.5], 1500, {"c0": 9000}))
+    got, lots = _jobs(spark, "many", lambda: exact_quantiles(base, many, [0.01, 0.25, 0.5, 0.9], 1500))
+    frame = base.toPandas()
+    frame.loc[frame.id % 7 == 0, "v"] = np.nan
+    for c in many:
+        assert got[c] == pytest.approx(np.nanquantile(frame[c], [0.01, 0.25, 0.5, 0.9]))
+    assert lots <= few + 3  # the count of values, which the first call was given
+    base.unpersist()
+
+
+def test_own_quantiles_for_each_column(skewed):
+    got = exact_quantiles(skewed, {"a": F.col("v"), "b": -F.col("v")}, {"a": [0.5], "b": [0.0, 1.0]}, 100)
+    v = skewed.toPandas()["v"]
+    assert got["a"] == [pytest.approx(v.median())] and got["b"] == [-v.max(), -v.min()]
+
+
+def test_correlations_with_nulls_in_two_passes(spark, monkeypatch):
+    from tabloom.operators import selection
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 7)) @ rng.normal(size=(7, 7)) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 5] = 3.25
+    names = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{n} double" for n in names)).repartition(3)
+    got, jobs = _jobs(spark, "corr", lambda: selection.correlation_matrix(df, names))
+    import pandas as pd
+
+    want = pd.DataFrame(x).corr().to_numpy()
+    want[5, 5] = 1.0
+    assert np.allclose(got, want, equal_nan=True, atol=1e-8) and jobs <= 8
+    monkeypatch.setattr(selection, "GROUP", 3)
+    assert np.allclose(selection.correlation_matrix(df, names), want, equal_nan=True, atol=1e-8)
