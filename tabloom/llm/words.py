@@ -58,9 +58,8 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
-def minimizers(values: np.ndarray, window: int) -> np.ndarray:
-    """Places whose value is the least of some `window` neighbours in a row; the last of equal ones. Any stretch of that
-    many values that occurs twice has such a place in common."""
+def minimizer_places(values: np.ndarray, window: int) -> np.ndarray:
+    """For each `window` neighbours in a row the place of the least value; the last of equal ones. Places never fall."""
     n = len(values)
     if n <= window:
         return np.array([n - 1 - int(values[::-1].argmin())]) if n else np.zeros(0, dtype=np.int64)
@@ -71,4 +70,9 @@ def minimizers(values: np.ndarray, window: int) -> np.ndarray:
         less = other <= least
         least = np.where(less, other, least)
         best[less] = at[less] + k
-    return np.unique(best)
+    return best
+
+
+def minimizers(values: np.ndarray, window: int) -> np.ndarray:
+    """The different ones of these places. Any stretch of `window` values that occurs twice has one of them in common."""
+    return np.unique(minimizer_places(values, window))
