@@ -22,6 +22,7 @@ SHAPES = {
     "name_day": (r"^" + _NAME + " ([0-9]{1,2}),? ([0-9]{4})", (3, 1, 2), 3),
 }
 LONGEST = 48
+_MARK = "\u0001"
 # Units per second of numeric epochs.
 EPOCH_UNITS = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
 
@@ -43,44 +44,50 @@ class TemporalParams:
     day_first: bool = False
 
 
+def _may_be_date(lower: Column) -> Column:
+    """A quick look that spares most texts the patterns: a digit or a month at the beginning, and a year somewhere."""
+    begins = "^(?:[0-9]|" + "|".join(m[:3] for m in MONTHS) + ")"
+    return F.char_length(lower).between(8, LONGEST) & lower.rlike(begins) & lower.rlike("[0-9]{4}")
+
+
 def date_shape(text: Column) -> Column:
     """Name of the shape a text has, null for none; texts that begin neither with a digit nor a month are not looked at."""
     t = F.lower(F.trim(text))
     found = F.lit(None).cast("string")
     for name, (pattern, _, _) in reversed(SHAPES.items()):
         found = F.when(t.rlike(pattern + _TIME), F.lit(name)).otherwise(found)
-    return F.when(F.substring(t, 1, 1).rlike("[0-9jfmasond]") & F.char_length(t).between(8, LONGEST), found)
+    return F.when(_may_be_date(t), found)
 
 
 def parse_text(text: Column, day_first: bool = False) -> Column:
     """Timestamp of a text in one of the known shapes, else null. Of two numbers before a year the first is the month
     (the day with ``day_first``), unless only the other reading gives a month. Fractions of a second count to the
-    microsecond. Without a zone the time is the session's."""
+    microsecond. Without a zone the time is the session's.
+
+    Every shape's head is rewritten to one form (shape, year, month, day), so one pattern takes all texts apart, once.
+    """
     t = F.lower(F.trim(text))
-    parsed = F.lit(None).cast("timestamp")
-    for name, (pattern, (year, month, day), groups) in reversed(SHAPES.items()):
-        full = pattern + _TIME
-
-        def part(i: int, full: str = full) -> Column:
-            return F.regexp_extract(t, full, i)
-
-        if "name" in name:
-            m = F.ceil(F.instr(F.lit(",".join(x[:3] for x in MONTHS)), F.substring(part(month), 1, 3)) / 4).cast("int")
-            d = part(day).cast("int")
-        else:
-            m, d = part(month).cast("int"), part(day).cast("int")
-        if name == "numeric":
-            first, second = (d, m) if day_first else (m, d)
-            swap = (first > 12) & (second <= 12)
-            m, d = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
-        hour, minute, second, fraction, half, zone = (part(groups + 1 + k) for k in range(6))
-        h = F.coalesce(hour.try_cast("int"), F.lit(0))
+    head = t
+    for name, (pattern, (year, month, day), _) in SHAPES.items():
+        head = F.regexp_replace(head, pattern, f"{name[0]}{_MARK}${year}{_MARK}${month}{_MARK}${day}{_MARK}")
+    fields = rf"^([a-z]){_MARK}([0-9]{{4}}){_MARK}([a-z0-9.]+){_MARK}([0-9]{{1,2}}){_MARK}" + _TIME
+    taken = F.split(F.regexp_replace(head, fields, _MARK.join(["", *(f"${i}" for i in range(1, 11))])), _MARK)
+
+    def made(p: Column) -> Column:
+        named = F.ceil(F.instr(F.lit(",".join(x[:3] for x in MONTHS)), F.substring(p[3], 1, 3)) / 4).cast("int")
+        m, d = F.coalesce(p[3].try_cast("int"), named), p[4].cast("int")
+        # in the numeric shape the two may be the other way round
+        turned = (p[1] == "n") & (~((d > 12) & (m <= 12)) if day_first else (m > 12) & (d <= 12))
+        half, zone = p[9], p[10]
+        h = F.coalesce(p[5].try_cast("int"), F.lit(0))
         h = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(half == "pm", 12).otherwise(0))
-        seconds = F.concat(F.when(second == "", "00").otherwise(second), F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0")).try_cast("decimal(16,6)")
+        seconds = F.concat(F.when(p[7] == "", "00").otherwise(p[7]), F.lit("."), F.rpad(F.substring(p[8], 1, 6), 6, "0")).try_cast("decimal(16,6)")
         offset = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2))).when(zone == "", F.current_timezone()).otherwise("UTC")
-        made = F.try_make_timestamp(part(year).cast("int"), m, d, h, F.coalesce(minute.try_cast("int"), F.lit(0)), seconds, offset)
-        parsed = F.when(t.rlike(full), made).otherwise(parsed)
-    return F.when(F.substring(t, 1, 1).rlike("[0-9jfmasond]") & F.char_length(t).between(8, LONGEST), parsed)
+        return F.try_make_timestamp(p[2].cast("int"), F.when(turned, d).otherwise(m), F.when(turned, m).otherwise(d), h, F.coalesce(p[6].try_cast("int"), F.lit(0)), seconds, offset)
+
+    # the list of at most one list of fields binds them, so that no field is looked for twice
+    parsed = F.get(F.transform(F.filter(F.array(taken), lambda p: F.size(p) == 11), made), F.lit(0))
+    return F.when(_may_be_date(t), parsed)
 
 
 def day_first_votes(text: Column) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from oracle_check import compare, duck
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # fits of many models; run by the driver and by oracle_check
 SLOW = {"m2_ridge", "m3_logistic_regression", "m4_random_forest", "m5_gradient_boosting", "m5_gradient_boosting_multiclass", "m8_cross_val_score",
-        "m14_stacking", "f9_recursive_elimination", "select_features", "m18_concurrent_candidates", "m9_search", "u2_stream_score"}
+        "m14_stacking", "f9_recursive_elimination", "select_features", "m18_concurrent_candidates", "m9_search", "u2_stream_score", "m9_deadline_search", "m14_stack_scores"}
 
 
 @pytest.fixture(scope="module")
