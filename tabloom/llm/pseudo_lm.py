@@ -33,6 +33,8 @@ KNOWN = 3072
 SIDES = (-2, -1, 1, 2)
 SIZE = 16
 BATCH = 8192
+#: Rows of a batch that are computed together, few enough for their tables to stay in a core's cache.
+ROWS = 1024
 SHAPES = {"near": (len(SIDES), CLASSES, SIZE), "shift": (SIZE,), "group": (SIZE, GROUPS), "group_bias": (GROUPS,), "given": (GROUPS, SIZE), "inside": (SIZE, GROUPS), "inside_bias": (GROUPS, GROUPS)}
 
 
@@ -136,52 +138,84 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     stream = np.concatenate([gap, *[x for t in texts for x in (t, gap)]]).astype(np.int64)
     n = np.array([len(t) for t in texts])
     at = np.arange(n.sum()) + 2 * (1 + np.repeat(np.arange(len(texts)), n))
-    return np.stack([stream[at + s] for s in SIDES], axis=1), stream[at]
+    return np.stack([stream[at + s] for s in SIDES]).T, stream[at]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _hidden(p: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
+    return np.tanh(p["shift"] + sum(np.take(p["near"][j], near[:, j], axis=0) for j in range(len(SIDES))))
 
 
-def _logits(p: dict[str, np.ndarray], near: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    h = np.tanh(p["shift"] + sum(p["near"][j][near[:, j]] for j in range(len(SIDES))))
-    g = h + p["given"][group]
-    return h @ p["group"] + p["group_bias"], g @ p["inside"] + p["inside_bias"][group], h, g
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of z less a top value, their sums by row, and the top: one for all rows, or one a row where rows lie far apart."""
+    one, top = np.ones(z.shape[1], dtype=z.dtype), z.max()
+    e = np.exp(z - top)
+    total = e @ one
+    if total.min() < 1e-30:
+        top = z.max(axis=1)
+        e = np.exp(z - top[:, None])
+        total = e @ one
+    return e, total, top
+
+
+def _log_probability(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    _, total, top = _exponentials(z)
+    return z[np.arange(len(own)), own] - top - np.log(total)
 
 
 def forward(p: dict[str, np.ndarray], near: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log-probability of every word."""
-    group, inside = own // GROUPS, own % GROUPS
-    first, second, _, _ = _logits(p, near, group)
-    rows = np.arange(len(own))
-    return _log_softmax(first)[rows, group] + _log_softmax(second)[rows, inside]
+    out = np.empty(len(own), dtype=p["near"].dtype)
+    for at in range(0, len(own), ROWS):
+        rows = slice(at, at + ROWS)
+        group, inside = np.divmod(own[rows], GROUPS)
+        h = _hidden(p, near[rows])
+        out[rows] = _log_probability(h @ p["group"] + p["group_bias"], group)
+        out[rows] += _log_probability((h + p["given"][group]) @ p["inside"] + p["inside_bias"][group], inside)
+    return out
 
 
-def _less_expected(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """One at the true class less the probabilities, averaged over the rows."""
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    e *= -1 / (len(own) * e.sum(axis=1, keepdims=True))
-    e[np.arange(len(own)), own] += 1 / len(own)
+def _less_expected(z: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """One at the true class less the probabilities, over n."""
+    e, total, _ = _exponentials(z)
+    e *= (-1 / (n * total))[:, None]
+    e[np.arange(len(own)), own] += 1 / n
     return e
 
 
 def _rows_added(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Values added up by index: one count per column is faster than adding row by row."""
-    return np.stack([np.bincount(index, weights=values[:, k], minlength=size) for k in range(values.shape[1])], axis=1).astype(np.float32)
+    """Rows of values added up by index."""
+    width = values.shape[1]
+    flat = (index[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(flat, weights=values.ravel(), minlength=size * width).reshape(size, width).astype(np.float32)
 
 
 def gradients(p: dict[str, np.ndarray], near: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean log-likelihood, upwards."""
-    group, inside = own // GROUPS, own % GROUPS
-    first, second, h, g = _logits(p, near, group)
-    d1, d2 = _less_expected(first, group), _less_expected(second, inside)
-    dg = d2 @ p["inside"].T
-    dh = (d1 @ p["group"].T + dg) * (1 - h * h)
-    return {
-        "near": np.stack([_rows_added(near[:, j], dh, CLASSES) for j in range(len(SIDES))]), "shift": dh.sum(axis=0), "group": h.T @ d1, "group_bias": d1.sum(axis=0),
-        "given": _rows_added(group, dg, GROUPS), "inside": g.T @ d2, "inside_bias": _rows_added(group, d2, GROUPS),
-    }
+    """Gradients of the mean log-likelihood, upwards. Words of one group are put side by side, so that their rows are added as one stretch."""
+    n = len(own)
+    order = np.argsort((own // GROUPS).astype(np.uint8), kind="stable")
+    near, own = near[order], own[order]
+    dh = np.empty((n, SIZE), dtype=p["near"].dtype)
+    out = {k: np.zeros(s, dtype=p["near"].dtype) for k, s in SHAPES.items() if k != "near"}
+    for at in range(0, n, ROWS):
+        rows = slice(at, at + ROWS)
+        group, inside = np.divmod(own[rows], GROUPS)
+        h = _hidden(p, near[rows])
+        g = h + p["given"][group]
+        d1 = _less_expected(h @ p["group"] + p["group_bias"], group, n)
+        d2 = _less_expected(g @ p["inside"] + p["inside_bias"][group], inside, n)
+        dg = d2 @ p["inside"].T
+        dh[rows] = (d1 @ p["group"].T + dg) * (1 - h * h)
+        one = np.ones(len(group), dtype=h.dtype)
+        out["group"] += h.T @ d1
+        out["group_bias"] += one @ d1
+        out["inside"] += g.T @ d2
+        begins = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(group)], strict=True):
+            out["given"][group[a]] += one[a:b] @ dg[a:b]
+            out["inside_bias"][group[a]] += one[a:b] @ d2[a:b]
+    out["shift"] = dh.sum(axis=0)
+    out["near"] = np.stack([_rows_added(near[:, j], dh, CLASSES) for j in range(len(SIDES))])
+    return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -33,6 +34,33 @@ def test_probabilities_add_up_to_one():
     assert np.isclose(np.exp(forward(p, near, np.arange(CLASSES))).sum(), 1, atol=1e-4)
 
 
+def test_tables_of_a_step_stay_small():
+    rng = np.random.default_rng(3)
+    p = initial(rng.integers(0, 50, CLASSES).astype(float))
+    near, own = rng.integers(0, CLASSES, (1 << 16, 4)), rng.integers(0, CLASSES, 1 << 16)
+    for work, limit in ((forward, 8 << 20), (gradients, 48 << 20)):
+        tracemalloc.start()
+        work(p, near, own)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < limit, work.__name__
+
+
+@pytest.mark.parametrize("far", [1.0, 1e4])
+def test_step_over_many_rows_equals_row_by_row(far):
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) for k, v in initial(rng.integers(0, 50, CLASSES).astype(float)).items()}
+    p["group"] *= far
+    p["inside"] *= far
+    n = 2 * pseudo_lm.ROWS + 5
+    near, own = rng.integers(0, CLASSES, (n, 4)), rng.integers(0, CLASSES, n)
+    assert np.allclose(forward(p, near, own), [forward(p, near[i : i + 1], own[i : i + 1])[0] for i in range(n)])
+    whole, parts = gradients(p, near, own), [gradients(p, near[i : i + 500], own[i : i + 500]) for i in range(0, n, 500)]
+    shares = [len(own[i : i + 500]) / n for i in range(0, n, 500)]
+    for k in SHAPES:
+        assert np.allclose(whole[k], sum(s * g[k] for s, g in zip(shares, parts)), atol=1e-8), k
+
+
 def text(rng, n):
     """Words in a fixed order of six kinds, each kind with four words."""
     return " ".join(f"k{i % 6}w{rng.randrange(4)}" for i in range(n))
