@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tabloom.functions.hashing import hash32
-from tabloom.operators import ordered, vocab
+from tabloom.operators import infer, ordered, quantiles, selection as ops, vocab
 from tabloom.operators.profile import gap_stats
 from tabloom.operators.quantiles import exact_quantiles, hash_cutoffs
+from tabloom.plans import selection
 
 
 @pytest.fixture(scope="module")
@@ -189,3 +190,33 @@ def test_correlations_with_nulls_in_two_passes(spark, monkeypatch):
     assert np.allclose(got, want, equal_nan=True, atol=1e-8) and jobs <= 8
     monkeypatch.setattr(selection, "GROUP", 3)
     assert np.allclose(selection.correlation_matrix(df, names), want, equal_nan=True, atol=1e-8)
+
+
+def test_quantile_counts_copy_no_rows(skewed, monkeypatch):
+    data = skewed.select(F.when(F.col("id") % 7 != 0, F.col("v")).alias("v0"), F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("v") * F.col("id")).alias("v1"))
+    brackets = [quantiles._Bracket(0, None, None, 0, data.where("v0 IS NOT NULL").count(), []), quantiles._Bracket(1, 5000.0, 4e6, 0, data.where("v1 > 5000 AND v1 < 4e6").count(), [])]
+    edges = [[3.0, 500.0], [5000.5, 1e6, 3e6]]
+    wide, long = quantiles._counts_wide(data, brackets, edges), quantiles._counts_long(data, brackets, edges)
+    assert {k: n for k, n in wide.items() if n} == long and len(wide) == 12
+    monkeypatch.setattr(quantiles, "_counts_long", lambda *_: pytest.fail("rows were copied"))
+    got = exact_quantiles(skewed, {"v": F.col("v"), "k": F.col("k")}, [0.5], 100)
+    frame = skewed.select("v", "k").toPandas()
+    assert got == {c: [pytest.approx(frame[c].median())] for c in ("v", "k")}
+
+
+def test_text_targets_are_read_as_numbers_once_a_value(skewed):
+    found = infer.problem_type(skewed, "word")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    keys = first[first.index("[") + 1 : first.index("]")]
+    assert keys.startswith("word#") and "," not in keys
+    assert found.first()["n"] == 9000 and found.first()["distinct"] == skewed.select("word").distinct().count() and not found.first()["integer_like"]
+
+
+def test_selection_reads_its_rows_by_column(skewed, monkeypatch):
+    plans = []
+    whole = ops.variance_filter
+    monkeypatch.setattr(ops, "variance_filter", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df, *rest))[1])
+    data = skewed.withColumn("v", F.when(F.col("id") % 4 != 0, F.col("v")))
+    result = selection.select_features(data, ["id", "v"], "k", selection.SelectionConfig(enable_model_based=False), key="word")
+    assert result.selected == ["id", "v"] and "FileScan parquet" in plans[0] and "ExistingRDD" not in plans[0]
