@@ -220,3 +220,13 @@ def test_selection_reads_its_rows_by_column(skewed, monkeypatch):
     data = skewed.withColumn("v", F.when(F.col("id") % 4 != 0, F.col("v")))
     result = selection.select_features(data, ["id", "v"], "k", selection.SelectionConfig(enable_model_based=False), key="word")
     assert result.selected == ["id", "v"] and "FileScan parquet" in plans[0] and "ExistingRDD" not in plans[0]
+
+
+def test_correlations_of_a_few_columns_need_no_vectors(skewed, monkeypatch):
+    data = skewed.select("v", "k", (F.col("v") * 3 - F.col("k") / 100 + 1e6).alias("w"), F.lit(0.1).alias("flat"), (-F.col("v")).alias("minus"))
+    whole = ops.correlation_matrix(data, ["v", "k", "w", "minus"])
+    assert np.allclose(whole, data.select("v", "k", "w", "minus").toPandas().corr().to_numpy(), atol=1e-9)
+    monkeypatch.setattr(ops.Correlation, "corr", lambda *_: pytest.fail("vectors were made"))
+    few = ops.correlation_matrix(data, ["v", "flat", "minus"])
+    assert np.isnan(few[0, 1]) and np.isnan(few[1, 2]) and few[1, 1] == 1 and few[0, 2] == pytest.approx(-1)
+    assert ops.correlation_filter(data, ["v", "k", "w", "minus"]) == ["v", "k"]
