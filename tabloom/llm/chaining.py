@@ -122,11 +122,12 @@ def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         row = np.minimum(cost[i, 1:] + 1, cost[i, :-1] + (y != x[i]))
         cost[i + 1] = np.minimum.accumulate(np.append(i + 1, row) - steps) + steps
     out, i, j = [], len(x), len(y)
+    cost, x, y = cost.tolist(), x.tolist(), y.tolist()
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
             out.append((1, 1, int(x[i - 1] == y[j - 1])))
             i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
             out.append((1, 0, 0))
             i -= 1
         else:
@@ -336,9 +337,10 @@ def repeats(docs: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS, gap_c
                 matched = matched[begins[1:]] - matched[begins[:-1]]
                 todo = np.flatnonzero(matched >= identity * min_words)
                 results = [(single[t], diagonal_passages(equal[begins[t] : begins[t + 1]], int(i0[t]), int(j0[t]), min_words, identity)) for t in todo.tolist()]
-                for t in np.flatnonzero(n_runs > 1).tolist():
-                    x, y, line = x_words[x_at[0, t] : x_at[1, t]], y_words[y_at[0, t] : y_at[1, t]], segments[edges[t] : edges[t + 1]].reshape(-1, 4)
-                    results.append((t, passages(align(x, y, line - [lo[t], lo[t], first_lo[t], first_lo[t]]), min_words, identity)))
+                inside = segments.reshape(-1, 4) - np.repeat(np.stack([lo, lo, first_lo, first_lo], axis=1), n_runs, axis=0)
+                several = np.flatnonzero(n_runs > 1)
+                for t, a, b, c, e, f, g in zip(several.tolist(), *x_at[:, several].tolist(), *y_at[:, several].tolist(), (edges[several] // 4).tolist(), (edges[several + 1] // 4).tolist()):
+                    results.append((t, passages(align(x_words[a:b], y_words[c:e], inside[f:g]), min_words, identity)))
                 for t, found in results:
                     for a, b, c, e, matches in found:
                         d, a0, b0, name = int(doc[t]), int(lo[t]), int(first_lo[t]), int(names[t])
