@@ -1,6 +1,7 @@
 """Weighted cells and moments give what a fit on all rows gives."""
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.plans import cells as compact, selection, training
@@ -88,3 +89,47 @@ def test_a_search_prepares_once_for_all_trials(data, large, monkeypatch):
     monkeypatch.setitem(training.SEARCH_SPACES, BOOSTING, {"n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 3)})
     best = training.search_within(frame, BOOSTING, "regression", 2, 600)
     assert best.tuned and len(best.scores) == 3 and len(made) == 1
+
+
+def test_cells_are_packed_and_folds_share_them(spark, data, large):
+    frame = selection.assembled(data.withColumn("kind", (F.col("n") % 3).cast("int")), ["a", "b"], "kind", ["fold"])
+    with training.Trainer(frame, "classification", 3) as trainer:
+        cells = trainer.cells(FOREST)
+        assert [t for _, t in cells.stored.select("w0").dtypes] == ["bigint"] and cells.frame.count() > 7 * 11 * 3
+        # a fit sees a cell once for a class, whatever the number of folds it lies in
+        left = cells.without((0,))
+        assert left.count() == data.where("fold <> 0").withColumn("kind", F.col("n") % 3).select("a", "b", "kind").distinct().count()
+        assert left.agg(F.sum("weight")).first()[0] == data.where("fold <> 0").count()
+        wanted = data.groupBy("a", "b", "fold", (F.col("n") % 3).cast("double").alias("label")).count()
+        found = cells.frame.select(F.get(vector_to_array("features"), F.lit(0)).alias("a"), F.get(vector_to_array("features"), F.lit(1)).alias("b"), "fold", "label", F.col("weight").cast("bigint"))
+        assert sorted(found.collect()) == sorted(wanted.collect())
+
+
+def test_bins_by_lookup_equal_bins_by_cuts(spark):
+    inf, nan = float("inf"), float("nan")
+    cuts = [[-inf, -5e-324, 0.0, 1.0, 1.0000000000000002], [], [2.5], [1.0, inf]] + [[float(k) for k in range(31)]] * 20
+    values = [-inf, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1.5, 2.5, 30.0, 31.0, inf, None]
+    wide = spark.createDataFrame([(i, *[v] * len(cuts)) for i, v in enumerate(values)], "i int, " + ", ".join(f"x{k} double" for k in range(len(cuts))))
+    binned, bins = compact._with_bins(wide, cuts)
+    want = [tuple(r) for r in wide.select(*[compact._bin(F.coalesce(f"x{k}", F.lit(nan)), c) for k, c in enumerate(cuts)]).collect()]
+    assert [tuple(r) for r in binned.orderBy("i").select(*bins).collect()][:-2] == want[:-2]
+    packed = compact._packed(bins)
+    made = compact.Cells(binned.select(*[w.alias(f"w{k}") for k, w in enumerate(packed)], F.lit(1).alias("weight")), cuts, 14, True)
+    assert len(packed) == 2 and [tuple(int(x) for x in r["features"]) for r in made.frame.collect()] == [tuple(r) for r in binned.select(*bins).collect()]
+
+
+def test_large_scans_for_trees_are_not_kept(spark, large, monkeypatch):
+    i = F.col("id")
+    rows = spark.range(0, 3000, 1, 8).select((i % 7).cast("double").alias("a"), (i % 5).cast("double").alias("b"), ((i % 7) > 3).cast("int").alias("c"), (i % 3).cast("int").alias("fold"))
+    frame = selection.assembled(rows, ["a", "b"], "c", ["fold"])
+    for names, kept in (([FOREST, BOOSTING], False), ([FOREST, RIDGE], True), (None, True)):
+        held = training.training_frame(frame, names)
+        assert (held.storageLevel.useMemory or held.storageLevel.useDisk) == kept
+        held.unpersist()
+    monkeypatch.setattr(compact, "LARGE_ROWS", 3000)
+    held = training.training_frame(frame, [FOREST])
+    assert held.storageLevel.useMemory
+    held.unpersist()
+    monkeypatch.setattr(compact, "LARGE_ROWS", 0)
+    scores = training.cross_validate(training.training_frame(frame, [FOREST]), FOREST, "classification", 3, {"n_estimators": 3, "max_depth": 4}).scores
+    assert scores == [1.0] * 3
